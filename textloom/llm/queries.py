@@ -4,14 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.llm.knn import nearest, similar_pairs
 from textloom.llm.near_dup import group_pairs, near_duplicates
 from textloom.llm.shared_spans import removal_clusters, shared_shares, shared_spans
+from textloom.llm.splitting import split_blocks, split_oversized
 from textloom.plans.registry import Registry
 from textloom.runtime import durable, table
 
 registry = Registry()
 
 
+@registry.query("p2_found")
+def p2_found(spark, sf_dir):
+    """The block starts at which oversized chunks may be cut."""
+    return split_blocks(table(spark, sf_dir, "chunk_records")).withColumnRenamed("id", "chunk_id")
+
+
+@registry.query("p2_pieces")
+def p2_pieces(spark, sf_dir):
+    """Oversized chunks as pieces of at most 1,500 characters that repeat 150 of the piece before."""
+    return split_oversized(table(spark, sf_dir, "chunk_records")).withColumnRenamed("id", "chunk_id")
+
+
+@registry.query("p3_found")
+def p3_found(spark, sf_dir):
+    """Pairs among each other's 10 most similar with a cosine of at least 0.8."""
+    return similar_pairs(nearest(table(spark, sf_dir, "vector_records"), k=10, least=0.8), 0.8)
+
+
+@registry.query("p3_neighbours")
+def p3_neighbours(spark, sf_dir):
+    """The 10 most similar vectors of every vector."""
+    return nearest(table(spark, sf_dir, "vector_records"), k=10)
+
+
 @registry.query("p5_found")
 def p5_found(spark, sf_dir):
     """Pairs of chunks in one group of near-duplicates."""
