@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.runtime import durable
+from textloom.runtime import durable, release
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = durable(clean.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
     for _ in range(max_rounds):
-        now = durable(_star(_star(now, small=False), small=True), "cc")
+        old, now = now, durable(_star(_star(now, small=False), small=True), "cc")
+        release(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -38,19 +38,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def durable(df: DataFrame, name: str = "step", partitions: int | None = None) -> DataFrame:
+#: Spark then removes a finished query's shuffle files at once, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder as compressed Parquet and read it back.
 
     Cuts the lineage like checkpoint(), survives the loss of executors, but stores columns compressed.
-    The table is removed when the driver ends.
+    The table is removed by release(), at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    if partitions:
-        df = df.coalesce(partitions)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textloom_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by durable() that nothing will read again."""
+    for t in tables:
+        _remove(t.sparkSession, t._textloom_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
