@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.knn import nearest, similar_pairs
 from textloom.llm.near_dup import group_pairs, near_duplicates
+from textloom.llm.residue import found as residue_found, judged, real_content
 from textloom.llm.shared_spans import removal_clusters, shared_shares, shared_spans
 from textloom.llm.splitting import split_blocks, split_oversized
 from textloom.plans.registry import Registry
@@ -38,6 +39,27 @@ def p3_neighbours(spark, sf_dir):
     return nearest(table(spark, sf_dir, "vector_records"), k=10)
 
 
+@registry.query("p4_found")
+def p4_found(spark, sf_dir):
+    """Records whose text is residue of a template, filler, an error or a demand for scripts."""
+    return residue_found(table(spark, sf_dir, "extract_results"))
+
+
+@registry.query("p4_content")
+def p4_content(spark, sf_dir):
+    """The records with real content, one row per extract_id, the latest fetched."""
+    rows = table(spark, sf_dir, "extract_results")
+    latest = rows.where(F.col("extract_id").isNotNull()).groupBy("extract_id").agg(F.max(F.struct("fetched_at", *[c for c in rows.columns if c not in ("fetched_at", "extract_id")])).alias("r")).select("extract_id", "r.*")
+    return real_content(latest).select("extract_id", "source_id", "extractor_used", "fetched_at", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@registry.query("p4_extractors")
+def p4_extractors(spark, sf_dir):
+    """How many records of each extractor are residue, by kind; the names are normalised."""
+    j = judged(table(spark, sf_dir, "extract_results").select("extract_id", "extractor_used", "text").dropDuplicates(["extract_id"]))
+    return j.groupBy(F.lower(F.coalesce("extractor_used", F.lit("unknown"))).alias("extractor"), F.when(F.col("residue_kind") == "", "content").otherwise(F.col("residue_kind")).alias("kind")).agg(F.count("*").alias("n"))
+
+
 @registry.query("p5_found")
 def p5_found(spark, sf_dir):
     """Pairs of chunks in one group of near-duplicates."""
