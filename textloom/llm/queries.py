@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.llm.boilerplate import main_content, page_lines
 from textloom.llm.knn import nearest, similar_pairs
 from textloom.llm.near_dup import group_pairs, near_duplicates
 from textloom.llm.residue import found as residue_found, judged, real_content
@@ -15,6 +16,18 @@ from textloom.runtime import durable, table
 registry = Registry()
 
 
+@registry.query("p1_found")
+def p1_found(spark, sf_dir):
+    """Lines of chunks of web pages that don't belong to the article."""
+    return page_lines(table(spark, sf_dir, "chunk_records"), table(spark, sf_dir, "source_records")).where("boilerplate").select("chunk_id", "line_no")
+
+
+@registry.query("p1_content")
+def p1_content(spark, sf_dir):
+    """The article's own lines of every chunk of a web page."""
+    return main_content(table(spark, sf_dir, "chunk_records"), table(spark, sf_dir, "source_records"))
+
+
 @registry.query("p2_found")
 def p2_found(spark, sf_dir):
     """The block starts at which oversized chunks may be cut."""
