@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -68,6 +68,11 @@ def release(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t._textloom_path)
 
 
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with the columns of ``ddl`` behind its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; Parquet pushes filters and columns down into the scan."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
