@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.boilerplate import main_content, page_lines
 from textloom.llm.knn import nearest, similar_pairs
+from textloom.llm.mixing import mix, mix_report
 from textloom.llm.near_dup import group_pairs, near_duplicates
+from textloom.llm.packing import fill_report, pack
 from textloom.llm.residue import found as residue_found, judged, real_content
 from textloom.llm.shared_spans import removal_clusters, shared_shares, shared_spans
 from textloom.llm.splitting import split_blocks, split_oversized
@@ -85,6 +87,31 @@ def p5_groups(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "chunk_records")).withColumnRenamed("id", "chunk_id")
 
 
+@registry.query("p7_containers")
+def p7_containers(spark, sf_dir):
+    """Every text's container of 2,048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@registry.query("p7_fill")
+def p7_fill(spark, sf_dir):
+    """How full the containers are."""
+    return fill_report(pack(table(spark, sf_dir, "documents")))
+
+
+@registry.query("p8_mix")
+def p8_mix(spark, sf_dir):
+    """The documents of the mix with the number of times each is used."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@registry.query("p8_shares")
+def p8_shares(spark, sf_dir):
+    """Target and actual share of every source of the mix."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(durable(mix(table(spark, sf_dir, "documents"), targets), "mix"), targets)
+
+
 @registry.query("p9_found")
 def p9_found(spark, sf_dir):
     """Stretches of at least 200 characters that other documents hold too."""

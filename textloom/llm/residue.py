@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.near_dup import _mix
+from textloom.runtime import extended
 
 ORDER = 5
 BUCKETS = 1 << 19
@@ -224,7 +225,7 @@ def judged(df: DataFrame, id_col: str = "extract_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([k for k, _ in out], pa.string()), pa.array([c for _, c in out], pa.float64())], names=[*cols, "residue_kind", "residue_coverage"])
 
     rest = df.drop("residue_kind", "residue_coverage")
-    schema = rest.schema.add("residue_kind", "string").add("residue_coverage", "double")
+    schema = extended(rest, "residue_kind string, residue_coverage double")
     return rest.withColumn("__text", F.col(text_col)).mapInArrow(run, schema)
 
 
