@@ -12,19 +12,22 @@ from textloom.runtime import durable, extended
 _TINY = 1e-9
 
 
-def flight(probabilities: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+def flight(probabilities: np.ndarray, sizes: np.ndarray, seed: int, spare: int = 0) -> np.ndarray:
     """Move inclusion probabilities to 0 or 1 while their sum and their size-weighted sum stay.
 
     Three undecided units at a time are moved along the null space of the two constraints (the
     vector orthogonal to the ones and to the sizes), up or down with the probabilities that keep the
-    expectation, until one of them is decided. At most two units stay undecided.
+    expectation, until one of them is decided. At most two units stay undecided, besides the
+    ``spare`` ones of middling size, which are left alone for the landing.
     """
     p = probabilities.astype(float).copy()
     rng = np.random.default_rng(seed)
     draws = iter(rng.random(len(p) + 1))
     active: list[int] = []
-    open_units = np.flatnonzero((p > _TINY) & (p < 1 - _TINY))
-    for k in open_units[np.argsort(-sizes[open_units], kind="stable")]:  # the largest first, so small ones are left to land
+    order = np.flatnonzero((p > _TINY) & (p < 1 - _TINY))
+    order = order[np.argsort(-sizes[order], kind="stable")]
+    low = max(0, (len(order) - spare) // 2)
+    for k in np.concatenate((order[:low], order[low + spare :])):
         active.append(int(k))
         if len(active) < 3:
             continue
@@ -33,7 +36,7 @@ def flight(probabilities: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarra
         if not u.any():
             u = np.array([1.0, -1.0, 0.0])
         q = p[active]
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
             down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
         q = q + up * u if next(draws) * (up + down) < down else q - down * u
@@ -43,13 +46,35 @@ def flight(probabilities: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarra
     return p
 
 
-def land(probabilities: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Decide the few units that are left: of all ways, the one whose size-weighted sum comes nearest."""
-    p = probabilities.copy()
-    left = np.flatnonzero((p > 0) & (p < 1))
-    want = (p[left] * sizes[left]).sum()
-    ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
-    p[left] = ways[np.abs(ways @ sizes[left] - want).argmin()] if len(left) else p[left]
+def land(probabilities: np.ndarray, sizes: np.ndarray, seed: int, few: int = 12) -> np.ndarray:
+    """Decide all units: the size-weighted sum ends as near to the given one as the units allow.
+
+    Units too large to be made up for by chance are decided one by one, each so that the sum so far
+    stays nearest; the others' probabilities are scaled to make up for the difference and flown; of
+    all ways to decide the last ``few``, the one that comes nearest holds.
+    """
+    p = probabilities.astype(float).copy()
+    want = float((p * sizes).sum())
+    undecided = np.flatnonzero((p > 0) & (p < 1))
+    undecided = undecided[np.argsort(-sizes[undecided], kind="stable")]
+    large = undecided[sizes[undecided] > 3 * np.median(sizes[undecided])] if len(undecided) > few else undecided[:0]
+    off = 0.0
+    for k in large:
+        take = abs(off + (1 - p[k]) * sizes[k]) <= abs(off - p[k] * sizes[k])
+        off += ((1.0 if take else 0.0) - p[k]) * sizes[k]
+        p[k] = 1.0 if take else 0.0
+    rest = undecided[len(large) :]
+    for _ in range(4):
+        now = (p[rest] * sizes[rest]).sum()
+        if now > 0:
+            p[rest] = np.clip(p[rest] * (want - (p * sizes).sum() + now) / now, 0, 1)
+    last = rest[len(rest) // 2 - few // 2 : len(rest) // 2 + few // 2] if len(rest) > few else rest
+    flown = np.setdiff1d(rest, last)
+    p[flown] = flight(p[flown], sizes[flown], seed)
+    last = np.concatenate((last, flown[(p[flown] > 0) & (p[flown] < 1)])).astype(int)
+    ways = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
+    p[last] = 0.0
+    p[last] = ways[np.abs(ways @ sizes[last] + (p * sizes).sum() - want).argmin()] if len(last) else 0.0
     return p
 
 
@@ -65,7 +90,7 @@ def _fly(fractions: dict[str, float]):
                 waiting.setdefault(row[1], []).append((*row, fractions[row[1]]))
             decided = []
             for source, rows in waiting.items():
-                p = flight(np.array([r[5] for r in rows]), np.array([r[2] for r in rows], float), seed=len(rows) * 31 + rows[0][4] % 1009)
+                p = flight(np.array([r[5] for r in rows]), np.array([r[2] for r in rows], float), seed=len(rows) * 31 + rows[0][4] % 1009, spare=16)
                 decided += [(*r[:5], float(x)) for r, x in zip(rows, p) if x in (0.0, 1.0)]
                 waiting[source] = [(*r[:5], float(x)) for r, x in zip(rows, p) if x not in (0.0, 1.0)]
             yield _batch(decided, batch.schema)
@@ -84,9 +109,8 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
 
 def _finish(land_all: bool):
     def run(rows: pa.Table) -> pa.Table:
-        p = flight(rows["p"].to_numpy(), rows["n_tokens"].to_numpy().astype(float), seed=rows.num_rows)
-        if land_all:
-            p = land(p, rows["n_tokens"].to_numpy().astype(float))
+        p, n = rows["p"].to_numpy(), rows["n_tokens"].to_numpy().astype(float)
+        p = land(p, n, seed=rows.num_rows) if land_all else flight(p, n, seed=rows.num_rows, spare=16)
         return rows.drop_columns(["p"]).append_column("p", pa.array(p))
 
     return run
@@ -110,7 +134,7 @@ def mix(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str
     left out; rows with one id are separate documents; an empty table gives an empty result.
 
     Method: every task moves the probabilities of its own documents; what it can't decide, at most
-    two documents a source, goes on to groups of ``group`` tasks and so on, until few units land.
+    two documents a source and a few spared for the landing, goes on to groups of ``group`` tasks and so on, until few units land.
     Only sums per source reach the driver, one row for each target.
     """
     wanted = {}
