@@ -56,12 +56,12 @@ def parent_chains(chunks: DataFrame, hits: DataFrame, max_depth: int = 12) -> Da
 
     One broadcast-free join per step; for whole forests of any depth see hierarchy().
     """
-    up = chunks.select(F.lower(F.trim("chunk_id")).alias("node"), "chunk_id", F.lower(F.trim("parent_id")).alias("parent"))
-    now = hits.select(F.col("id").alias("chunk_id")).join(up, "chunk_id").select(F.col("chunk_id").alias("hit_id"), "parent", F.array("node").alias("seen"))
+    up = chunks.select(F.lower(F.trim("chunk_id")).alias("up_node"), F.col("chunk_id").alias("up_id"), F.lower(F.trim("parent_id")).alias("up_parent"))
+    now = hits.select(F.col("id").alias("up_id")).join(up, "up_id").select(F.col("up_id").alias("hit_id"), F.col("up_parent").alias("parent"), F.array("up_node").alias("seen"))
     found = None
     for d in range(1, max_depth + 1):
-        step = now.join(up, now["parent"] == up["node"]).where(~F.array_contains("seen", F.col("node"))).select("hit_id", "chunk_id", up["parent"], F.array_append("seen", F.col("node")).alias("seen"))
-        row = step.select("hit_id", "chunk_id", F.lit(d).alias("distance"))
+        step = now.join(up, F.col("parent") == F.col("up_node")).where(~F.array_contains("seen", F.col("up_node"))).select("hit_id", "up_id", "up_parent", F.array_append("seen", F.col("up_node")).alias("seen"))
+        row = step.select("hit_id", F.col("up_id").alias("chunk_id"), F.lit(d).alias("distance"))
         found = row if found is None else found.union(row)
-        now = step.select("hit_id", "parent", "seen")
+        now = step.select("hit_id", F.col("up_parent").alias("parent"), "seen")
     return found

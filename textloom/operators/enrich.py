@@ -43,12 +43,16 @@ def ascii_bounded(pattern: str) -> str:
     return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def _named(name: str):
+    return lambda v: F.concat(F.lit(f"{name}:"), v)
+
+
 def regex_tags(text: Column, rules: dict[str, str]) -> Column:
     """Sorted distinct 'name:value' of all matches; the value is group 1 of the rule's pattern, else the whole match."""
     found = []
     for name, pattern in rules.items():
         group = 1 if re.compile(pattern).groups else 0
-        found.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda v, n=name: F.concat(F.lit(f"{n}:"), v)))
+        found.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), group), _named(name)))
     return F.array_sort(F.array_distinct(F.concat(*found))) if found else F.array().cast("array<string>")
 
 

@@ -111,6 +111,10 @@ def parse_tables(text: Column, kind: str) -> Column:
     return run(text)
 
 
+def _matches(pattern: str):
+    return lambda c: c.rlike(pattern)
+
+
 def column_types(headers: Column, rows: Column) -> Column:
     """Per column the first of currency, percentage, number, date that all non-empty cells have, else string; string where all are empty."""
     patterns = (("currency", r"^[-+]?[$€£¥]\s?\d[\d,]*(\.\d+)?$|^[-+]?\d[\d,]*(\.\d+)?\s?[$€£¥]$"), ("percentage", r"^[-+]?\d+(\.\d+)?\s?%$"), ("number", r"^[-+]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$"), ("date", r"^\d{4}-\d{2}-\d{2}([T ].*)?$|^\d{1,2}[./]\d{1,2}[./]\d{4}$"))
@@ -119,7 +123,7 @@ def column_types(headers: Column, rows: Column) -> Column:
         cells = F.filter(F.transform(rows, lambda r: F.trim(F.get(r, i))), lambda c: c.isNotNull() & (c != ""))
         kind = F.when(F.size(cells) == 0, F.lit("string"))
         for name, pattern in patterns:
-            kind = kind.when(F.forall(cells, lambda c, p=pattern: c.rlike(p)), F.lit(name))
+            kind = kind.when(F.forall(cells, _matches(pattern)), F.lit(name))
         return kind.otherwise("string")
 
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(headers) - 1, F.lit(0))), one)
