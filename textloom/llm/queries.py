@@ -75,7 +75,18 @@ def p4_extractors(spark, sf_dir):
     return j.groupBy(F.lower(F.coalesce("extractor_used", F.lit("unknown"))).alias("extractor"), F.when(F.col("residue_kind") == "", "content").otherwise(F.col("residue_kind")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@registry.query("p5_found")
+P5 = r"""
+WITH RECURSIVE t AS (SELECT chunk_id AS id, any_value(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM chunk_records WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id),
+s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 3),
+k AS (SELECT min(id) AS id, g FROM (SELECT id, list_sort(g) AS g FROM s) GROUP BY g), x AS (SELECT id, len(g) AS n, unnest(g) AS token FROM k),
+b AS (SELECT a.id AS u, c.id AS v, count(*) AS shared, any_value(a.n) AS nu, any_value(c.n) AS nv FROM x a JOIN x c ON a.token = c.token AND a.id < c.id GROUP BY a.id, c.id),
+l AS (SELECT u, v FROM b WHERE shared >= 0.6 * (nu + nv - shared) - 1e-9 UNION ALL SELECT v, u FROM b WHERE shared >= 0.6 * (nu + nv - shared) - 1e-9),
+c AS (SELECT id AS node, id AS seen FROM k UNION SELECT c.node, l.v FROM c JOIN l ON c.seen = l.u),
+m AS (SELECT node, min(seen) AS grp FROM c GROUP BY node), z AS (SELECT s.id, m.grp FROM s JOIN k ON list_sort(s.g) = k.g JOIN m ON m.node = k.id)
+SELECT a.id AS chunk_id_a, b.id AS chunk_id_b FROM z a JOIN z b ON a.grp = b.grp AND a.id < b.id"""
+
+
+@registry.query("p5_found", P5)
 def p5_found(spark, sf_dir):
     """Pairs of chunks in one group of near-duplicates."""
     return group_pairs(durable(near_duplicates(table(spark, sf_dir, "chunk_records")), "nd-groups"))
@@ -112,7 +123,14 @@ def p8_shares(spark, sf_dir):
     return mix_report(durable(mix(table(spark, sf_dir, "documents"), targets), "mix"), targets)
 
 
-@registry.query("p9_found")
+P9 = """
+WITH p AS (SELECT doc_id, i, hash(substring(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200)),
+g AS (SELECT h FROM p GROUP BY h HAVING min(doc_id) <> max(doc_id)), q AS (SELECT doc_id, i FROM p JOIN g USING (h)),
+o AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS cut FROM q), n AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT doc_id, min(i) AS span_start, max(i) + 200 AS span_end FROM n GROUP BY doc_id, k"""
+
+
+@registry.query("p9_found", P9)
 def p9_found(spark, sf_dir):
     """Stretches of at least 200 characters that other documents hold too."""
     return shared_spans(table(spark, sf_dir, "documents"))
