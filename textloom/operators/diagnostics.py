@@ -28,7 +28,7 @@ def score_statistics(scores: DataFrame, column: str = "score") -> DataFrame:
     s = F.col(column)
     return scores.where(s.isNotNull()).agg(
         F.count("*").alias("n"), F.round(F.min(s), 6).alias("min"), F.round(F.max(s), 6).alias("max"), F.round(F.avg(s), 6).alias("mean"), F.round(F.var_pop(s), 6).alias("variance"),
-        F.round(F.element_at(F.array_sort(F.collect_list(s)), (F.floor(F.count("*") / 2) + 1).cast("int")), 6).alias("upper_median"),
+        F.round(F.get(F.array_sort(F.collect_list(s)), F.floor(F.count("*") / 2).cast("int")), 6).alias("upper_median"),
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from textloom.functions.text import short_hash
 
 _ROW = re.compile(r"(?m)^[ \t]*\|(.*)\|[ \t]*$")
-_RULE = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$")
+_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 TABLE = T.StructType([T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
