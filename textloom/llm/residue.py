@@ -50,25 +50,34 @@ PLACEHOLDER = re.compile(
     r"|@@\w+@@|##[A-Z_]+##|\*\|[^|\n]{1,40}\|\*|«[A-Z][A-Za-z]*(?:_[A-Za-z]+)*»|\[object \w+\]"
 )
 _QUOTED = re.compile(r"`[^`\n]*`|(?<!\w)'[^'\n]{1,80}'(?!\w)|\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|(?ms:^[ \t]*(?:```|~~~).*?^[ \t]*(?:```|~~~))|<code>.*?</code>")
-_SEGMENT = re.compile(r"[^\n]+?(?:[.!?…]+(?=\s|$)|[。！？]|(?=\n)|$)")
+_PART = re.compile(r"(?<=[.!?…])(?=\s)|(?<=[。！？])|\n")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile("[\u3400-\u9fff]")
 
 
-def grams(text: str, order: int = ORDER) -> np.ndarray:
-    """Bucket numbers of the character n-grams of ``text``, lower case, digits as one, blanks as one; from a Han character on, bigrams."""
-    t = re.sub(r"\s+", " ", re.sub(r"\d+", "0", text.lower()))
+def _flat(parts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket numbers, part numbers) of the character n-grams of several stretches at once.
+
+    Lower case, digits as one, blanks as one; from a Han character on, bigrams. No n-gram spans two parts.
+    """
+    t = re.sub(r"[^\S\x00]+", " ", re.sub(r"\d+", "0", " \x00 ".join(parts).lower()))
     c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(c) - order + 1
     if n < 1:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.zeros(n, np.uint64)
     for k in range(order):
         h = h * np.uint64(0x100000001B3) + c[k : k + n]
     han = (c[:n] >= 0x3400) & (c[:n] <= 0x9FFF)
     if han.any():
         h[han] = (c[:n] * np.uint64(0x1F123BB5) + c[1 : n + 1])[han]
-    return (_mix(h) % np.uint64(BUCKETS)).astype(np.int64)
+    ends = np.cumsum(c == 0)
+    inside = ends[order - 1 :] == np.concatenate(([0], ends[: n - 1]))
+    return (_mix(h[inside]) % np.uint64(BUCKETS)).astype(np.int64), ends[:n][inside]
+
+
+def grams(text: str) -> np.ndarray:
+    return _flat([text.replace("\x00", " ")])[0]
 
 
 def _counts(texts) -> np.ndarray:
@@ -98,7 +107,7 @@ def ratio(counts: np.ndarray, prose: np.ndarray) -> np.ndarray:
 
 
 def segments(text: str) -> list[str]:
-    return [s.strip() for s in _SEGMENT.findall(text) if s.strip()]
+    return [s for s in map(str.strip, _PART.split(text)) if s]
 
 
 def _han(s: str) -> int:
@@ -119,35 +128,43 @@ def _sentence(s: str) -> bool:
 WINDOWS = ((16, 0.35), (48, 0.1))
 
 
-def residue_mask(g: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Per n-gram whether it lies in a window whose likelihood ratio favours one of the residue models."""
+def covered_shares(parts: list[str], tables: list[np.ndarray]) -> np.ndarray:
+    """Per part, the share of its n-grams in windows whose likelihood ratio favours one of the residue models."""
+    g, part = _flat([p.replace("\x00", " ") for p in parts])
     n = len(g)
+    size = np.bincount(part, minlength=len(parts))
+    if not n:
+        return np.zeros(len(parts))
     mask = np.zeros(n, bool)
-    for t, (window, least) in [(t, w) for t in tables for w in WINDOWS if w[0] <= n or w is WINDOWS[0]]:
-        w = min(window, n)
+    for t in tables:
         total = np.concatenate(([0.0], np.cumsum(t[g], dtype=np.float64)))
-        hot = np.flatnonzero(total[w:] - total[:-w] > least * w)
-        if len(hot):
-            edge = np.zeros(n + 1, np.int64)
-            edge[hot] += 1  # every start comes once
-            edge[hot + w] -= 1
-            mask |= np.cumsum(edge[:-1]) > 0
-    return mask
+        for window, least in WINDOWS:
+            if n >= window:
+                hot = np.flatnonzero((total[window:] - total[:-window] > least * window) & (part[window - 1 :] == part[: n - window + 1]))
+                if len(hot):
+                    edge = np.zeros(n + 1, np.int64)
+                    edge[hot] += 1  # every start comes once
+                    edge[hot + window] -= 1
+                    mask |= np.cumsum(edge[:-1]) > 0
+        window, least = WINDOWS[0]
+        short = (size > 0) & (size < window)  # one window over the whole part
+        if short.any():
+            mean = np.bincount(part, weights=t[g], minlength=len(parts)) / np.maximum(size, 1)
+            mask |= (short & (mean > least))[part]
+    return np.bincount(part, weights=mask, minlength=len(parts)) / np.maximum(size, 1)
 
 
 def judge(text: str, tables: list[np.ndarray], share: float = 0.5) -> tuple[str, float]:
     """(kind, coverage) of one text; kind is '', 'placeholder' or 'residue'."""
-    quoted = [m.span() for m in _QUOTED.finditer(text)]
-    for m in PLACEHOLDER.finditer(text):
+    slots = list(PLACEHOLDER.finditer(text))
+    quoted = [m.span() for m in _QUOTED.finditer(text)] if slots else []
+    for m in slots:
         if not any(a <= m.start() < b for a, b in quoted):
             return "placeholder", 1.0
     residue = prose = 0
-    for s in segments(text):
-        g = grams(s)
-        if not len(g):
-            continue
-        covered = residue_mask(g, tables).mean()
-        words = _WORD.findall(s.lower())
+    parts = segments(text)
+    for s, covered in zip(parts, covered_shares(parts, tables)):
+        words = _WORD.findall(s.lower()) if s.count(" ") >= 5 else []
         dull = len(words) >= 6 and len(set(words)) <= max(2, len(words) // 6)
         if covered >= 0.7 or dull:
             residue += _weight(s)
@@ -161,16 +178,25 @@ def judge(text: str, tables: list[np.ndarray], share: float = 0.5) -> tuple[str,
 
 def _prose_counts(batches):
     """Counts of the n-grams of sentence-like stretches; one that a task has seen, its digits aside, counts once."""
-    total, seen = np.zeros(BUCKETS), set()
+    total, seen, waiting, held = np.zeros(BUCKETS), set(), [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
+            fresh = []
             for s in segments(text):
                 key = hash(re.sub(r"\d+", "0", s))
                 if _weight(s) >= 40 and _sentence(s) and key not in seen:
                     if len(seen) > 2_000_000:
                         seen.clear()
                     seen.add(key)
-                    np.add.at(total, grams(s), 1)
+                    fresh.append(s.replace("\x00", " "))
+            if fresh:
+                waiting.append(_flat(fresh)[0])
+                held += len(waiting[-1])
+            if held > BUCKETS:
+                total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                waiting, held = [], 0
+    if waiting:
+        total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 

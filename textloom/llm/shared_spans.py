@@ -114,7 +114,7 @@ def _windows(length: int):
     return run
 
 
-def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, links: bool = False) -> DataFrame:
+def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None, links: bool = False) -> DataFrame:
     """(doc_id, span_start, span_end): maximal stretches made of spans of at least ``length`` code points that another document holds too.
 
     Offsets count code points, the end is exclusive; overlapping or touching spans are one. With
@@ -123,7 +123,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Method: a span may begin and end inside paragraphs as they are written, so every window of
     ``length`` characters counts as a paragraph. Its MinHash, one band of one row over its
-    ``gram``-grams, collides for equal windows always (recall 1). Neighbouring windows mostly have one
+    ``gram``-grams (by default 8/25 of the length), collides for equal windows always (recall 1). Neighbouring windows mostly have one
     MinHash; such runs are posted once, with the hash of all they cover. Runs equal as a whole are
     shared as a whole. Of the other runs with a colliding MinHash every window is compared exactly by
     a second, independent 64-bit hash. Only the least and the greatest document of each posting are
@@ -134,6 +134,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document, so repeats within it are not shared; other columns are ignored; an empty table gives an
     empty result.
     """
+    gram = max(1, length * 8 // 25) if gram is None else gram
     if not 0 < gram < length:
         raise ValueError("gram must be positive and less than length")
     rows = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
@@ -166,15 +167,15 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def shared_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def shared_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None) -> DataFrame:
     """(doc_id, n_chars, n_spans, shared_chars, shared_share) for every document with a text; 0 where nothing is shared."""
-    spans = shared_spans(df, id_col, text_col, length).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
+    spans = shared_spans(df, id_col, text_col, length, gram).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.length(text_col)).cast("bigint").alias("n_chars"))
     zero = F.lit(0).cast("bigint")
     joined = docs.join(spans, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("shared_chars", zero).alias("shared_chars"))
     return joined.withColumn("shared_share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))
 
 
-def removal_clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def removal_clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None) -> DataFrame:
     """(doc_id, cluster_id): documents that share a span, directly or through others; the least id names the cluster."""
-    return connected_components(shared_spans(df, id_col, text_col, length, links=True)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id"))
+    return connected_components(shared_spans(df, id_col, text_col, length, gram, links=True)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id"))
