@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.functions.shingles import MULT, WordHashes, mix, permutations, shingle_hashes, signature
 from textloom.operators.components import connected_components
 from textloom.runtime import durable, release
 
@@ -85,6 +88,39 @@ def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95,
     return rows.select("id", "set").join(lead, "set").select("id", "kept_id", (F.col("id") == F.col("kept_id")).alias("is_kept"), "n_links")
 
 
+def _minhash(words: int, bands: int, rows: int):
+    salts = permutations(bands * rows)
+
+    def run(batches):
+        known = WordHashes()
+        for batch in batches:
+            out = []
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = shingle_hashes(t, words, known)
+                if len(s):
+                    keys = np.arange(bands, dtype=np.uint64)
+                    for column in signature(s, salts).reshape(bands, rows).T:
+                        keys = mix(keys + MULT) ^ column.astype(np.uint64)
+                    out.append((n, int(mix(s).sum(dtype=np.uint64).view(np.int64)), mix(keys).view(np.int64), s.tobytes()))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["id", "set", "keys", "s"])
+
+    return run
+
+
+def _similar(threshold: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def minhash(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, bands: int = 16, rows_per_band: int = 4) -> DataFrame:
     """(id, group_id, is_kept): groups of texts whose sets of ``words`` words are at least ``threshold`` similar, by banded MinHash.
 
@@ -93,19 +129,16 @@ def minhash(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold
     bands of 4 with a probability of 99.98 %. Texts with fewer words, null texts and null ids are left
     out; equal sets are one row; repeated ids count once.
     """
-    token = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.first(token).alias("w")).where(F.size("w") >= words)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))
-    sets = durable(rows.select("id", grams.alias("s")).select("id", "s", F.xxhash64(F.array_sort("s")).alias("set")), "minhash-rows")
-    lead = sets.groupBy("set").agg(F.min("id").alias("lead"), F.first("s").alias("s"))
-    least = lambda seed: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[least(b * rows_per_band + r) for r in range(rows_per_band)]) for b in range(bands)])
-    posts = durable(lead.select("set", F.explode(keys).alias("key")), "minhash-posts")
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__t"))
+    kind = rows.schema["id"].dataType.simpleString()
+    marked = durable(rows.mapInArrow(_minhash(words, bands, rows_per_band), f"id {kind}, set bigint, keys array<bigint>, s binary"), "minhash-rows")
+    sets = durable(marked.groupBy("id").agg(F.min("set").alias("set")), "minhash-sets")
+    posts = marked.select("set", F.explode("keys").alias("key"))
     hubs = posts.groupBy("key").agg(F.min("set").alias("u"), F.max("set").alias("last")).where("u != last").select("key", "u")
     pairs = posts.join(hubs, "key").where("set != u").select("u", F.col("set").alias("v")).distinct()
+    lead = marked.dropDuplicates(["set"])
     x, y = lead.select(F.col("set").alias("u"), F.col("s").alias("us")), lead.select(F.col("set").alias("v"), F.col("s").alias("vs"))
-    both = F.size(F.array_intersect("us", "vs"))
-    links = pairs.join(x, "u").join(y, "v").where(both >= threshold * (F.size("us") + F.size("vs") - both) - 1e-9).select("u", "v")
+    links = pairs.join(x, "u").join(y, "v").select("u", "v", "us", "vs").mapInArrow(_similar(threshold), "u bigint, v bigint")
     groups = connected_components(links).withColumnRenamed("node", "set")
     named = sets.select("id", "set").join(groups, "set", "left").select("id", F.coalesce("component", "set").alias("c"))
     names = named.groupBy("c").agg(F.min("id").alias("group_id"))
