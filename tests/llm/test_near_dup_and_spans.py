@@ -1,6 +1,7 @@
 import random
 
-from textloom.llm.near_dup import WORD, group_pairs, near_duplicates
+from textloom.functions.shingles import WORD
+from textloom.llm.near_dup import group_pairs, near_duplicates
 from textloom.llm.shared_spans import removal_clusters, shared_shares, shared_spans
 
 VOCABULARY = [f"word{i}" for i in range(500)]

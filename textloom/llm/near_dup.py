@@ -3,63 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.functions.shingles import MULT, WordHashes, mix, permutations, shingle_hashes, signature
 from textloom.operators.components import connected_components
 from textloom.runtime import durable, release
 
-WORD = re.compile(r"[^\W_]+")
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply), on whole arrays."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """Word to 64-bit hash; emptied when it has grown, so its memory is bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
-
-
-def shingle_hashes(text: str, words: int, known: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the word n-grams of ``text``."""
-    tokens = WORD.findall(text.lower())
-    n = len(tokens) - words + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    h = np.array([known[t] for t in tokens], np.uint64)
-    acc = h[:n]
-    for k in range(1, words):
-        acc = _mix(acc + _MULT) + h[k : k + n]
-    return np.unique(_mix(acc))
-
-
-def permutations(coordinates: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, coordinates, dtype=np.uint64) | np.uint64(1)
-
-
-def signature(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """MinHash: of each salted order, the least value, as 32 bits."""
-    x = (shingles[None, :] ^ salts[:, None]) * _MULT
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return (x.min(axis=1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _signatures(bands: int, rows: int, words: int):
     salts = permutations(bands * rows)
 
@@ -79,8 +31,8 @@ def _signatures(bands: int, rows: int, words: int):
                     sig = signature(s, salts).reshape(bands, rows).astype(np.uint64)
                     acc = np.arange(bands, dtype=np.uint64)
                     for k in range(rows):
-                        acc = _mix(acc + _MULT) ^ sig[:, k]
-                    coords.append((_mix(acc) >> np.uint64(16)).view(np.int64))
+                        acc = mix(acc + MULT) ^ sig[:, k]
+                    coords.append((mix(acc) >> np.uint64(16)).view(np.int64))
                 ends.append(bands * len(coords))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(np.array(ends, np.int32), np.concatenate(coords) if coords else np.empty(0, np.int64))],

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.near_dup import _mix
+from textloom.functions.shingles import mix
 from textloom.runtime import extended
 
 ORDER = 5
@@ -73,7 +73,7 @@ def _flat(parts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
         h[han] = (c[:n] * np.uint64(0x1F123BB5) + c[1 : n + 1])[han]
     ends = np.cumsum(c == 0)
     inside = ends[order - 1 :] == np.concatenate(([0], ends[: n - 1]))
-    return (_mix(h[inside]) % np.uint64(BUCKETS)).astype(np.int64), ends[:n][inside]
+    return (mix(h[inside]) % np.uint64(BUCKETS)).astype(np.int64), ends[:n][inside]
 
 
 def grams(text: str) -> np.ndarray:

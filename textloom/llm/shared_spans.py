@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from textloom.llm.near_dup import _mix
+from textloom.functions.shingles import mix
 from textloom.operators.components import connected_components
 from textloom.runtime import durable
 
@@ -17,7 +17,7 @@ class RollingHash:
     """Hashes of any stretch of a text from prefix sums modulo 2^64; the power tables grow as needed."""
 
     def __init__(self) -> None:
-        self.codes = _mix(np.arange(65536, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        self.codes = mix(np.arange(65536, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -33,17 +33,17 @@ class RollingHash:
         self._powers(len(c) + 1)
         h = self.codes[c & 0xFFFF]
         if len(c) and c.max() > 0xFFFF:
-            h = h ^ _mix((c >> 16).astype(np.uint64))
+            h = h ^ mix((c >> 16).astype(np.uint64))
         out = np.zeros(len(c) + 1, np.uint64)
         np.cumsum(h * self.up[: len(c)], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((prefix[end] - prefix[start]) * self.down[start])
+        return mix((prefix[end] - prefix[start]) * self.down[start])
 
     def grams(self, prefix: np.ndarray, k: int) -> np.ndarray:
         n = len(prefix) - k
-        return _mix((prefix[k:] - prefix[:n]) * self.down[:n])
+        return mix((prefix[k:] - prefix[:n]) * self.down[:n])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
