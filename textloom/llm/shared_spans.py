@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from textloom.functions.shingles import mix
 from textloom.operators.components import connected_components
-from textloom.runtime import durable
+from textloom.runtime import durable, release
 
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
 
@@ -143,8 +143,10 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = [F.min("doc").alias("d0"), F.max("doc").alias("d1")]
     shared = runs.groupBy("fp").agg(*both).where("d0 != d1").select("fp")
     kept = durable(runs.join(shared, "fp"), "spans-kept")
+    release(runs)
     entire = kept.groupBy("fp", "whole").agg(*both)
     flagged = durable(kept.join(entire, ["fp", "whole"]), "spans-flagged")
+    release(kept)
     done = flagged.where("d0 != d1").select("doc", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     partial = flagged.where("d0 = d1").select("fp").distinct()
     ends = flagged.where("d0 = d1 or doc = d0 or doc = d1").join(partial, "fp").groupBy("doc", "fp", "whole").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list(F.struct("first", "last")).alias("all"))
