@@ -90,3 +90,12 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
     star = spark.range(3000).select(F.lit(0).cast("bigint").alias("u"), F.col("id").alias("v"))
     assert connected_components(star).agg(F.max("component")).first()[0] == 0
+
+
+def test_ranks_of_a_hot_key(spark):
+    from textloom.operators.ranking import ranked_by_ranges
+
+    rows = [("hot", i * 7 % 1000) for i in range(1000)] + [("b", 5), ("b", 2), (None, 9), (None, 1)]
+    got = ranked_by_ranges(spark.createDataFrame(rows, "k string, v int").repartition(7), ["k"], ["v"], "place", 6).collect()
+    assert sorted(r["place"] for r in got if r["k"] == "hot") == list(range(1000)) and all(r["place"] == r["v"] for r in got if r["k"] == "hot")
+    assert {(r["k"], r["v"], r["place"]) for r in got if r["k"] != "hot"} == {("b", 2, 0), ("b", 5, 1), (None, 1, 0), (None, 9, 1)}

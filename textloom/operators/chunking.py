@@ -10,9 +10,10 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions.text import chunk_id, document_id, normalize_text, project_chunk_id, short_hash, token_estimate
+from textloom.operators.ranking import ranked_by_ranges
 from textloom.schema import ChunkConfig
 
 _HEADING = re.compile(r"(?m)^(#{1,6})\s+(.*)$")
@@ -218,9 +219,8 @@ def chunk_project(df: DataFrame, source_col: str, order_col: str, text_col: str
     first = hashed.groupBy("content_hash").agg(F.min(F.struct(place.alias("p"), F.col("text"))).alias("r")).select("content_hash", "r.p.*", "r.text")
     if seen is not None:
         first = first.join(seen.select("content_hash").distinct(), "content_hash", "left_anti")
-    index = F.row_number().over(W.partitionBy("source_id").orderBy("__o", "start_char")) - 1
-    return first.withColumn("chunk_index", index).select(
-        project_chunk_id(F.col("source_id"), F.col("chunk_index")).alias("chunk_id"), "source_id", "chunk_index", "text", F.col("start_char").cast("bigint").alias("start_char"), (F.col("start_char") + F.length("text")).cast("bigint").alias("end_char"), "content_hash"
+    return ranked_by_ranges(first, ["source_id"], ["__o", "start_char"], "chunk_index").select(
+        project_chunk_id(F.col("source_id"), F.col("chunk_index")).alias("chunk_id"), "source_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.col("start_char").cast("bigint").alias("start_char"), (F.col("start_char") + F.length("text")).cast("bigint").alias("end_char"), "content_hash"
     )
 
 

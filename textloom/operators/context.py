@@ -16,15 +16,15 @@ def latest_chunks(df: DataFrame) -> DataFrame:
 def neighbours(chunks: DataFrame, hits: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """(hit_id, chunk_id, distance): the chunks of the hit's document up to so many places away.
 
-    A place is a chunk's rank among its document's chunks by (chunk_index, chunk_id), found from
-    counts of equal and smaller indexes by an equi-join on the place, so only the hits' documents are
-    ranked. ``hits`` has (id).
+    Places follow (chunk_index, chunk_id), nulls first. Chunks meet the hits on their document, and
+    of either side of a hit only the nearest are kept, by every task before the shuffle; so a document
+    of any length is no hot group. ``hits`` has (id); repeated hits count once.
     """
-    wanted = hits.select(F.col("id").alias("chunk_id")).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-    docs = wanted.select("doc_id").distinct()
-    placed = chunks.join(docs, "doc_id", "left_semi").select("doc_id", "chunk_id", F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")).alias("place"))
-    at = placed.join(wanted.select("chunk_id"), "chunk_id").select("doc_id", F.col("chunk_id").alias("hit_id"), F.explode(F.array(*[F.struct((F.col("place") + d).alias("place"), F.lit(d).alias("distance")) for d in range(-before, after + 1) if d])).alias("p"))
-    return at.select("doc_id", "hit_id", F.col("p.place").alias("place"), F.col("p.distance").alias("distance")).join(placed, ["doc_id", "place"]).select("hit_id", "chunk_id", "distance")
+    wanted = hits.select(F.col("id").alias("chunk_id")).distinct().join(chunks.select("chunk_id", "doc_id", "chunk_index"), "chunk_id").select("doc_id", F.col("chunk_id").alias("hit_id"), F.struct("chunk_index", "chunk_id").alias("at"))
+    near = chunks.select("doc_id", "chunk_id", F.struct("chunk_index", "chunk_id").alias("place")).join(wanted, "doc_id").where("place != at").withColumn("ahead", F.col("place") > F.col("at"))
+    up = near.where("ahead").withColumn("distance", F.row_number().over(W.partitionBy("hit_id").orderBy("place"))).where(F.col("distance") <= after)
+    down = near.where("not ahead").withColumn("distance", F.row_number().over(W.partitionBy("hit_id").orderBy(F.desc("place")))).where(F.col("distance") <= before).withColumn("distance", -F.col("distance"))
+    return up.select("hit_id", "chunk_id", "distance").union(down.select("hit_id", "chunk_id", "distance"))
 
 
 def hydrate(chunks: DataFrame, hits: DataFrame, cfg: ExpandConfig = ExpandConfig()) -> DataFrame:

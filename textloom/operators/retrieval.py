@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.functions.vectors import cosine
+from textloom.operators.ranking import ranked_by_ranges
 from textloom.schema import RetrievalProfile
 
 RRF_K = 60
@@ -121,16 +122,12 @@ def chat_fusion(df: DataFrame, query: str, query_vector: Sequence[float] | None,
 def mock_semantic(df: DataFrame, query: str, k: int = 10) -> DataFrame:
     """Stand-in for semantic search: 0.8 x share of terms + 0.2 x (1 - 0.5 x place / number), the place by id from 0.
 
-    The number of rows goes into the score, so rows are numbered by ranges of ids: counts per range are
-    summed up first and no window spans the table.
+    The place of a row among all goes into the score; rows are ranked by ranges of ids, so that no
+    window spans the table.
     """
-    rows = df.where(F.col("text").isNotNull()).select("id", ratio_score(F.col("text"), query).alias("kw"))
-    ordered = rows.repartitionByRange("id").withColumn("p", F.spark_partition_id()).withColumn("i", F.row_number().over(W.partitionBy("p").orderBy("id")))
-    sizes = ordered.groupBy("p").agg(F.count("*").alias("n"))
-    offsets = sizes.select("p", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per partition
-    total = sizes.agg(F.sum("n").alias("total"))
-    placed = ordered.join(offsets, "p").crossJoin(F.broadcast(total))  # one row
-    score = 0.8 * F.col("kw") + 0.2 * (1 - 0.5 * (F.col("before") + F.col("i") - 1) / F.col("total"))
+    rows = df.where(F.col("text").isNotNull()).select("id", ratio_score(F.col("text"), query).alias("kw"), F.lit(0).alias("all"))
+    placed = ranked_by_ranges(rows, ["all"], ["id"], "place").crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+    score = 0.8 * F.col("kw") + 0.2 * (1 - 0.5 * F.col("place") / F.col("total"))
     return top(placed.select("id", F.round(score, DIGITS).alias("score")), k)
 
 

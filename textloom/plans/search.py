@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.operators import classify as rules
-from textloom.operators import context, diagnostics, retrieval
+from textloom.operators import context, diagnostics, pipeline, retrieval
 from textloom.plans.registry import Registry
 from textloom.runtime import table
 from textloom.schema import ExpandConfig
@@ -183,6 +183,28 @@ def chunk_lookup(spark, sf_dir):
     return r.join(retrieval.keyword(r, TEXT, scoring="ratio").select("id"), "id").select("id", "text")
 
 
+@query("debug_results", f"WITH {ROWS} SELECT h.rank, h.id, greatest(least(h.score, 1.0), 0.0) AS score, substring(r.text, 1, 200) AS preview FROM ({top('sem', 10)}) h JOIN r USING (id)")
+def debug_results(spark, sf_dir):
+    """Results of an explained query: clamped scores and previews."""
+    d = pipeline.debug_query(rows(spark, sf_dir), VECTOR)["results"]
+    return d.select(F.col("rank").cast("bigint").alias("rank"), "id", "score", "preview")
+
+
+@query("index_stats", f"WITH {ROWS} SELECT count(*) AS rows, count(text) AS with_text, count(embedding) AS with_vector, count(DISTINCT source_id) AS sources, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM r")
+def index_stats(spark, sf_dir):
+    """What the collection holds."""
+    return pipeline.index_stats(rows(spark, sf_dir))
+
+
+@query("document_chunks_in_order", "SELECT doc_id, chunk_id, chunk_index, place FROM (SELECT doc_id, chunk_id, chunk_index::BIGINT AS chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index NULLS FIRST, chunk_id) - 1 AS place FROM (SELECT chunk_id, doc_id, chunk_index FROM document_chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY source.retrieved_at DESC NULLS LAST, doc_id DESC NULLS LAST, chunk_index DESC NULLS LAST) = 1))")
+def document_chunks_in_order(spark, sf_dir):
+    """The chunks of every document in order."""
+    from textloom.operators.ranking import ranked_by_ranges
+
+    c = context.latest_chunks(table(spark, sf_dir, "document_chunks")).select("doc_id", "chunk_id", F.col("chunk_index").cast("bigint").alias("chunk_index"))
+    return ranked_by_ranges(c, ["doc_id"], ["chunk_index", "chunk_id"], "place")
+
+
 CHUNKS = """dc AS (SELECT chunk_id, doc_id, chunk_index, parent_id, hierarchy_level AS level, content.text AS text FROM document_chunks WHERE chunk_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY source.retrieved_at DESC NULLS LAST, doc_id DESC NULLS LAST, chunk_index DESC NULLS LAST, parent_id DESC NULLS LAST, hierarchy_level DESC NULLS LAST, content.text DESC NULLS LAST) = 1),
 hit AS (SELECT chunk_id AS id FROM dc WHERE text IS NOT NULL AND contains(lower(text), 'ledger') ORDER BY length(text) DESC, chunk_id LIMIT 10),
