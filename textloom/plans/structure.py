@@ -123,12 +123,12 @@ def sources_remove(spark, sf_dir):
     return catalog.cascade(table(spark, sf_dir, "chunk_records"), table(spark, sf_dir, "vector_records"), gone)[2]
 
 
-@query("run_diff", """WITH a AS (SELECT DISTINCT chunk_id FROM chunk_records WHERE chunk_id IS NOT NULL AND created_at < TIMESTAMP '2024-03-01'), b AS (SELECT DISTINCT chunk_id FROM chunk_records WHERE chunk_id IS NOT NULL AND created_at >= TIMESTAMP '2024-02-01')
+@query("run_diff", """WITH a AS (SELECT DISTINCT chunk_id FROM chunk_records WHERE chunk_id IS NOT NULL AND created_at < TIMESTAMPTZ '2024-03-01 00:00:00+00'), b AS (SELECT DISTINCT chunk_id FROM chunk_records WHERE chunk_id IS NOT NULL AND created_at >= TIMESTAMPTZ '2024-02-01 00:00:00+00')
 SELECT CASE WHEN a.chunk_id IS NULL THEN 'added' WHEN b.chunk_id IS NULL THEN 'removed' ELSE 'unchanged' END AS change, count(*) AS n FROM a FULL JOIN b ON a.chunk_id = b.chunk_id GROUP BY 1""")
 def run_diff(spark, sf_dir):
     """Chunks of two overlapping runs, told apart by time."""
     c = table(spark, sf_dir, "chunk_records")
-    return catalog.run_diff(c.where("created_at < timestamp '2024-03-01'"), c.where("created_at >= timestamp '2024-02-01'"), "chunk_id")
+    return catalog.run_diff(c.where("created_at < timestamp '2024-03-01 00:00:00 UTC'"), c.where("created_at >= timestamp '2024-02-01 00:00:00 UTC'"), "chunk_id")
 
 
 @query("chunks_to_embed", "SELECT DISTINCT chunk_id FROM chunk_records WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM vector_records WHERE chunk_id IS NOT NULL)")
@@ -137,11 +137,11 @@ def chunks_to_embed(spark, sf_dir):
     return index.to_embed(table(spark, sf_dir, "chunk_records").select("chunk_id").where("chunk_id is not null").distinct(), table(spark, sf_dir, "vector_records"))
 
 
-@query("upsert_counts", "WITH o AS (SELECT DISTINCT chunk_id AS id FROM vector_records WHERE model = 'prism-64'), n AS (SELECT DISTINCT chunk_id AS id FROM vector_records WHERE created_at >= TIMESTAMP '2024-02-01' AND chunk_id IS NOT NULL) SELECT count(*) FILTER (o.id IS NULL) AS inserted, count(*) FILTER (o.id IS NOT NULL AND n.id IS NOT NULL) AS updated, count(*) FILTER (n.id IS NULL) AS untouched FROM o FULL JOIN n ON o.id = n.id")
+@query("upsert_counts", "WITH o AS (SELECT DISTINCT chunk_id AS id FROM vector_records WHERE model = 'prism-64'), n AS (SELECT DISTINCT chunk_id AS id FROM vector_records WHERE created_at >= TIMESTAMPTZ '2024-02-01 00:00:00+00' AND chunk_id IS NOT NULL) SELECT count(*) FILTER (o.id IS NULL) AS inserted, count(*) FILTER (o.id IS NOT NULL AND n.id IS NOT NULL) AS updated, count(*) FILTER (n.id IS NULL) AS untouched FROM o FULL JOIN n ON o.id = n.id")
 def upsert_counts(spark, sf_dir):
     """What an upsert of the newer vectors into one model's collection would do."""
     v = table(spark, sf_dir, "vector_records").withColumnRenamed("chunk_id", "id")
-    return index.upsert_counts(v.where("model = 'prism-64'"), v.where("created_at >= timestamp '2024-02-01'"))
+    return index.upsert_counts(v.where("model = 'prism-64'"), v.where("created_at >= timestamp '2024-02-01 00:00:00 UTC'"))
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type AS key, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

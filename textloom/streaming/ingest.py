@@ -47,7 +47,8 @@ def ingest_new(documents: DataFrame, target: str, checkpoint: str, id_col: str =
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes", slide: str | None = None, time_col: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
     """(window_start, key, n, total) per tumbling (or sliding) window; windows close once the watermark has passed."""
-    events = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    if events.isStreaming:  # watermarks need a time zone's timestamp
+        events = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
     w = F.window(time_col, length, slide) if slide else F.window(time_col, length)
     g = events.withWatermark(time_col, late) if events.isStreaming else events
     return g.groupBy(w.alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total")).select(F.col("w.start").alias("window_start"), "key", "n", "total")
@@ -55,7 +56,8 @@ def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes"
 
 def sessions(events: DataFrame, gap: str = "30 minutes", time_col: str = "ts", key: str = "user_id") -> DataFrame:
     """(key, session_start, session_end, n): runs of events no more than ``gap`` apart."""
-    events = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    if events.isStreaming:  # watermarks need a time zone's timestamp
+        events = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
     g = events.withWatermark(time_col, gap) if events.isStreaming else events
     s = g.groupBy(F.session_window(time_col, gap).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
     return s.select("key", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
