@@ -154,49 +154,77 @@ def covered_shares(parts: list[str], tables: list[np.ndarray]) -> np.ndarray:
     return np.bincount(part, weights=mask, minlength=len(parts)) / np.maximum(size, 1)
 
 
-def judge(text: str, tables: list[np.ndarray], share: float = 0.5) -> tuple[str, float]:
-    """(kind, coverage) of one text; kind is '', 'placeholder' or 'residue'."""
-    slots = list(PLACEHOLDER.finditer(text))
-    quoted = [m.span() for m in _QUOTED.finditer(text)] if slots else []
-    for m in slots:
-        if not any(a <= m.start() < b for a, b in quoted):
-            return "placeholder", 1.0
-    residue = prose = 0
-    parts = segments(text)
-    for s, covered in zip(parts, covered_shares(parts, tables)):
-        words = _WORD.findall(s.lower()) if s.count(" ") >= 5 else []
-        dull = len(words) >= 6 and len(set(words)) <= max(2, len(words) // 6)
-        if covered >= 0.7 or dull:
-            residue += _weight(s)
-        elif _sentence(s):
-            prose += _weight(s)
-    if not residue:
-        return "", 0.0
-    coverage = residue / (residue + prose)
-    return ("residue" if coverage >= share else ""), coverage
+_AT_ONCE = 300_000  # characters that are scored in one go
+
+
+def judge_many(texts: list[str | None], tables: list[np.ndarray], share: float = 0.5) -> list[tuple[str, float]]:
+    """(kind, coverage) of every text; kind is '', 'placeholder' or 'residue'."""
+    out = [("", 0.0)] * len(texts)
+    waiting: list[tuple[int, list[str]]] = []
+    held = 0
+
+    def settle() -> None:
+        covered = iter(covered_shares([s for _, parts in waiting for s in parts], tables).tolist())
+        for k, parts in waiting:
+            residue = prose = 0
+            for s, c in zip(parts, covered):
+                if c >= 0.7:
+                    residue += _weight(s)
+                    continue
+                if s.count(" ") >= 5 and len(set(s.split())) * 3 <= s.count(" ") + 1:  # hardly any different words
+                    words = _WORD.findall(s.lower())
+                    if len(words) >= 6 and len(set(words)) <= max(2, len(words) // 6):
+                        residue += _weight(s)
+                        continue
+                if _sentence(s):
+                    prose += _weight(s)
+            if residue:
+                coverage = residue / (residue + prose)
+                out[k] = ("residue" if coverage >= share else "", coverage)
+        waiting.clear()
+
+    for k, text in enumerate(texts):
+        if not text or not text.strip():
+            continue
+        slots = list(PLACEHOLDER.finditer(text))
+        quoted = [m.span() for m in _QUOTED.finditer(text)] if slots else []
+        if any(not any(a <= m.start() < b for a, b in quoted) for m in slots):
+            out[k] = ("placeholder", 1.0)
+            continue
+        waiting.append((k, segments(text)))
+        held += len(text)
+        if held > _AT_ONCE:
+            settle()
+            held = 0
+    if waiting:
+        settle()
+    return out
+
+
+def judge(text: str, tables: list[np.ndarray]) -> tuple[str, float]:
+    return judge_many([text], tables)[0]
 
 
 def _prose_counts(batches):
     """Counts of the n-grams of sentence-like stretches; one that a task has seen, its digits aside, counts once."""
-    total, seen, waiting, held = np.zeros(BUCKETS), set(), [], 0
+    total, seen, fresh, held = np.zeros(BUCKETS), set(), [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            fresh = []
             for s in segments(text):
+                if _weight(s) < 40 or not _sentence(s):
+                    continue
                 key = hash(re.sub(r"\d+", "0", s))
-                if _weight(s) >= 40 and _sentence(s) and key not in seen:
+                if key not in seen:
                     if len(seen) > 2_000_000:
                         seen.clear()
                     seen.add(key)
                     fresh.append(s.replace("\x00", " "))
-            if fresh:
-                waiting.append(_flat(fresh)[0])
-                held += len(waiting[-1])
-            if held > BUCKETS:
-                total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
-                waiting, held = [], 0
-    if waiting:
-        total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                    held += len(s)
+            if held > _AT_ONCE:
+                total += np.bincount(_flat(fresh)[0], minlength=BUCKETS)
+                fresh, held = [], 0
+    if fresh:
+        total += np.bincount(_flat(fresh)[0], minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -205,8 +233,9 @@ def _clean_counts(tables):
     def run(batches):
         def clean():
             for batch in batches:
-                texts = [t for t in batch.column(0).to_pylist() if not judge(t, tables)[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+                texts = batch.column(0).to_pylist()
+                kept = [t for t, (kind, _) in zip(texts, judge_many(texts, tables)) if not kind]
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["text"])
 
         yield from _prose_counts(clean())
 
@@ -246,7 +275,7 @@ def judged(df: DataFrame, id_col: str = "extract_id", text_col: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            out = [("", 0.0) if not t or not t.strip() else judge(t, tables) for t in batch.column("__text").to_pylist()]
+            out = judge_many(batch.column("__text").to_pylist(), tables)
             cols = {n: batch.column(n) for n in batch.schema.names if n != "__text"}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([k for k, _ in out], pa.string()), pa.array([c for _, c in out], pa.float64())], names=[*cols, "residue_kind", "residue_coverage"])
 
