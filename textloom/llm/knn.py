@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from textloom.runtime import durable
+from textloom.runtime import durable, release
 
 #: Similarity levels at which the query-centred windows are widened (virtual rehashing).
 LEVELS = (0.9, 0.8, 0.6, 0.3, -1.0)
@@ -35,23 +35,19 @@ def fit_pivots(sample: np.ndarray, count: int, rounds: int = 5, seed: int = 11)
 def _assign(pivots: dict[str, np.ndarray], dim: int, probes: int):
     def run(batches):
         for batch in batches:
-            ids, models = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            ids, models = batch.column(0), np.array(batch.column(1).to_pylist(), object)
             x = _unit(batch.column(2), dim)
-            rows, cells = [], []
+            cells: list = [[]] * len(ids)
             for model, p in pivots.items():
                 own = np.flatnonzero(models == model)
                 n = min(probes, len(p))
                 for i in range(0, len(own), 2048):
                     part = own[i : i + 2048]
-                    s = x[part].astype(np.float32) @ p.T
-                    best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(p) else np.tile(np.arange(n), (len(part), 1))
-                    rows.append(np.repeat(part, n))
-                    cells.append(best.ravel())
-            if not rows:
-                continue
-            rows, cells = np.concatenate(rows), np.concatenate(cells)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), batch.column(1).take(take), pa.array(cells.astype(np.int32)), batch.column(2).take(take)], names=["id", "model", "cell", "embedding"])
+                    near = x[part].astype(np.float32) @ p.T
+                    best = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(p) else np.tile(np.arange(n), (len(part), 1))
+                    for k, c in zip(part, best):
+                        cells[k] = c
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], names=["id", "model", "cells"])
 
     return run
 
@@ -79,11 +75,13 @@ def search(queries: np.ndarray, data: np.ndarray, same: np.ndarray | None, k: in
             if level <= -1:
                 q, d = (m.ravel() for m in np.meshgrid(todo, np.arange(len(data)), indexing="ij"))
             else:
-                radius = max(1, int(np.ceil(1.3 * np.sqrt(2 - 2 * level) / np.sqrt(dim) * _SCALE)))
+                radius = min(127, max(1, int(np.ceil(1.3 * np.sqrt(2 - 2 * level) / np.sqrt(dim) * _SCALE))))
                 counts = np.zeros((len(todo), len(data)), np.uint8)
-                for j in range(projections):
-                    mine, theirs = qc[todo, j][:, None], dc[j][None, :]
-                    counts += (np.maximum(mine, theirs) - np.minimum(mine, theirs)) <= radius
+                apart, near = np.empty_like(counts), np.empty(counts.shape, bool)
+                for j in range(projections):  # bytes wrap around: mine - theirs + radius is at most 2 radius inside the window
+                    np.subtract(qc[todo, j][:, None], (dc[j] - np.uint8(radius))[None, :], out=apart)
+                    np.less_equal(apart, np.uint8(2 * radius), out=near)
+                    np.add(counts, near.view(np.uint8), out=counts)
                 at, d = np.nonzero(counts >= need)
                 q = todo[at]
             if same is not None:
@@ -159,28 +157,32 @@ def nearest(df: DataFrame, k: int = 10, least: float = -1.0, dim: int = 64, prob
     spark = df.sparkSession
     current = usable_vectors(df, dim).withColumn("id", F.xxhash64("model", "embedding"))
     current = durable(current, "knn-vectors")
+    keys = durable(current.select("id", "chunk_id"), "knn-keys")
     same = W.partitionBy("id").orderBy("chunk_id")
-    members = durable(current.select("id", "chunk_id").withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1), "knn-members")
-    vectors = current.groupBy("id").agg(F.first("model").alias("model"), F.first("embedding").alias("embedding"))
+    members = durable(keys.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1), "knn-members")
+    vectors = durable(current.groupBy("id").agg(F.first("model").alias("model"), F.first("embedding").alias("embedding")), "knn-classes-vectors")
     pivots = {}
     for model, n in sorted((r[0], r[1]) for r in current.groupBy("model").count().collect()):
         sample = current.where(F.col("model") == model).orderBy(F.xxhash64("chunk_id")).limit(sample_rows).select("embedding").toArrow()
         pivots[model] = fit_pivots(_unit(sample["embedding"].combine_chunks(), dim), max(1, min(max_pivots, n // cell_rows)))
-    placed = vectors.select("id", "model", "embedding").mapInArrow(_assign(pivots, dim, probes), "id bigint, model string, cell int, embedding array<float>")
-    placed = durable(placed, "knn-cells")
+    release(current)
+    placed = durable(vectors.select("id", "model", "embedding").mapInArrow(_assign(pivots, dim, probes), "id bigint, model string, cells array<int>"), "knn-cells")
+    placed = placed.select("id", "model", F.explode("cells").alias("cell"))
     sizes = placed.groupBy("model", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
-    spread = placed.join(F.broadcast(sizes), ["model", "cell"]).withColumn("mine", mine)  # at most max_pivots rows a model
+    spread = placed.join(F.broadcast(sizes), ["model", "cell"]).withColumn("mine", mine).join(vectors.select("id", "embedding"), "id")  # sizes: at most max_pivots rows a model
     pairs = spread.select("id", "model", "cell", "embedding", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("theirs")).select(
         "id", "model", "cell", "embedding", F.least("mine", "theirs").alias("b0"), F.greatest("mine", "theirs").alias("b1"), F.when(F.col("mine") == F.col("theirs"), 0).when(F.col("mine") < F.col("theirs"), 1).otherwise(2).alias("side")
     )
-    found = pairs.groupBy("model", "cell", "b0", "b1").applyInArrow(_search_cell(dim, k, least, projections), "id bigint, other bigint, similarity double")
+    found = durable(pairs.groupBy("model", "cell", "b0", "b1").applyInArrow(_search_cell(dim, k, least, projections), "id bigint, other bigint, similarity double"), "knn-found")
+    release(vectors)
     best = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
     classes = durable(found.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place"), "knn-classes")
+    release(found)
     across = classes.join(members.select(F.col("id").alias("other"), F.col("chunk_id").alias("neighbour")), "other").select("id", "neighbour", "similarity")
     inside = members.join(members.where("n = 2").select("id"), "id", "left_semi").select("id", F.col("chunk_id").alias("neighbour"), F.lit(1.0).alias("similarity"))
     ranked = W.partitionBy("chunk_id").orderBy(F.desc("similarity"), "neighbour")
-    return current.select("chunk_id", "id").join(across.union(inside), "id").where("chunk_id != neighbour").select("chunk_id", "neighbour", "similarity", F.row_number().over(ranked).alias("rank")).where(F.col("rank") <= k)
+    return keys.join(across.union(inside), "id").where("chunk_id != neighbour").select("chunk_id", "neighbour", "similarity", F.row_number().over(ranked).alias("rank")).where(F.col("rank") <= k)
 
 
 def similar_pairs(neighbours: DataFrame, least: float = 0.8) -> DataFrame:
