@@ -36,7 +36,7 @@ def shingle_hashes(text: str, words: int, known: WordHashes) -> np.ndarray:
     n = len(tokens) - words + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    h = np.array([known[t] for t in tokens], np.uint64)
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     acc = h[:n]
     for k in range(1, words):
         acc = mix(acc + MULT) + h[k : k + n]
