@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,7 @@ def ratio(counts: np.ndarray, prose: np.ndarray) -> np.ndarray:
 
 
 def segments(text: str) -> list[str]:
+    text = text if text.isascii() else unicodedata.normalize("NFC", text)
     return [s for s in map(str.strip, _PART.split(text)) if s]
 
 
