@@ -86,6 +86,7 @@ def test_block_starts():
     assert [TEXT[a:].split("\n")[0].split("\f")[0] for a in starts] == ["First line", "Second", "# Head", "under head", "After feed", "unclosed", "###### six"]
     assert block_starts("") == [] and block_starts(" \n\t\n") == []
     assert [a for a, _ in block_starts("a\n````\n\n```\n\n````\n\nb")] == [0, 19]
+    assert [a for a, _ in block_starts("```\nx\f\ny\n```\fnext\n```\nz\n```\nsame")] == [0, 13]
 
 
 def test_packing_tiles_the_text():

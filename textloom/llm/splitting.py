@@ -52,10 +52,10 @@ def block_starts(text: str) -> list[tuple[int, int]]:
     inside = _listings(text, lines)
     out: list[tuple[int, int]] = []
     fresh = True
-    for (a, b), listed in zip(lines, inside):
+    for k, ((a, b), listed) in enumerate(zip(lines, inside)):
         body = text[a:b]
-        if listed:
-            fresh = False
+        if listed:  # a form feed parts again once it stands behind the closing fence
+            fresh = body.endswith("\f") and (k + 1 == len(lines) or not inside[k + 1])
             continue
         if not body.strip():
             fresh = True
