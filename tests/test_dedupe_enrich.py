@@ -53,6 +53,16 @@ def test_minhash_groups(spark):
     assert got == {1: 1, 2: 1, 3: 3, 6: 1}
 
 
+def test_minhash_compares_members_whose_hub_is_similar_to_neither(spark):
+    template = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(40):  # texts of one template are 0.7 similar, each has one near-copy
+        own = template + [f"own{i}x{j}" for j in range(20)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, "more"]))]
+    got = {r["id"]: r["group_id"] for r in dedupe.minhash(spark.createDataFrame(rows, "id int, t string"), "id", "t", bands=4, rows_per_band=1).collect()}
+    assert got == {k: k - k % 2 for k in range(80)}
+
+
 def test_new_sources(spark):
     old = spark.createDataFrame([("url", "u1")], "type string, uri string")
     new = spark.createDataFrame([(0, "url", "u1"), (1, "url", "u2"), (2, "url", "u2"), (3, "pdf", "u1")], "position int, type string, uri string")
