@@ -49,6 +49,16 @@ def test_density_prefers_text_without_links():
     assert lines_of("", None) == [] and [k for _, k, _, _ in lines_of("a | b | c", None)] == [LINKS]
 
 
+def test_long_lines_are_tested_for_notices():
+    filler = "the ledger of the barn is kept by the council and every parcel in it is measured again when the harvest of the year has been brought in and the engine of the market rests"
+    for notice in [
+        f"Alle Rechte vorbehalten, {filler}.", f"Todos los derechos reservados, {filler}.", f"(c) 2024 Northfield Gazette, {filler}.", f"Copyright 2024 Northfield Gazette, {filler}.", f"By continuing to read you agree that {filler}.",
+        f"We measure visits with tracking pixels, and {filler}.", f"Northfield Gazette is a registered charity, {filler}.", f"There is no spam, {filler}.", f"Subscribe to our newsletter, {filler}.", "\t".join(["Home and garden", "Barns and silos"] * 7) + ".",
+    ]:
+        assert len(notice) >= 170 and lines_of(notice, None)[0][1] == LINKS, notice
+    assert lines_of(filler + ".", None)[0][1] != LINKS
+
+
 def test_placeholders():
     for slot in ["{{name}}", "${city}", "{0}", "<%= page.total %>", "{% date %}", "[[CITY]]", "[Your Name]", "[INSERT DATE]", "<insert total here>", "%FIRST_NAME%", "__PHONE__", "@@version@@", "##TITLE##", "*|AMOUNT|*", "«Total»", "[object Object]"]:
         assert PLACEHOLDER.search(f"Dear {slot}, thank you."), slot

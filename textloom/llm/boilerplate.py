@@ -92,8 +92,6 @@ def _leaf(line: str, own: str | None, seen: dict) -> tuple[int, int, int]:
     s = _plain(line)
     if s == own:
         return TITLE, 0, 1
-    if len(s) >= 170 and _END.search(s) and not any(w in s for w in ("cookie", "storage", "small files", "rights", " | ", " · ")):
-        return PROSE, 0, 1 + bool(_BULLET.match(line))
     known = seen.get(line)
     if known is None:
         parts = [p for p in _SEPARATOR.split(_BULLET.sub("", line).strip()) if p]
