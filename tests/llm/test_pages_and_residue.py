@@ -59,6 +59,16 @@ def test_long_lines_are_tested_for_notices():
     assert lines_of(filler + ".", None)[0][1] != LINKS
 
 
+def test_long_paragraphs_that_repeat_over_a_site(spark):
+    notice = "The Northfield Gazette is printed by the cooperative of the valley in the old mill beside the river; letters to the editor reach the board by post, and what is sent in stays with the archive of the town, where it may be read on any weekday."
+    assert len(notice) > 200
+    chunks = [(f"c{i}", f"s{i}", page(f"About the {NOUNS[i % 14]} number {i}", [prose(), prose(3), prose(2)])[0] + "\n" + notice, {"source_name": f"About the {NOUNS[i % 14]} number {i}"}) for i in range(20)]
+    c = spark.createDataFrame(chunks, "chunk_id string, source_id string, text string, metadata map<string,string>")
+    s = spark.createDataFrame([(f"s{i}", "url", f"https://site.example/p{i}", None) for i in range(20)], "source_id string, type string, uri string, source_name string")
+    got = {(r["chunk_id"], r["line_no"]): r["boilerplate"] for r in page_lines(c, s).collect()}
+    assert all(got[i, text.count("\n")] for i, _, text, _ in chunks)
+
+
 def test_placeholders():
     for slot in ["{{name}}", "${city}", "{0}", "<%= page.total %>", "{% date %}", "[[CITY]]", "[Your Name]", "[INSERT DATE]", "<insert total here>", "%FIRST_NAME%", "__PHONE__", "@@version@@", "##TITLE##", "*|AMOUNT|*", "«Total»", "[object Object]"]:
         assert PLACEHOLDER.search(f"Dear {slot}, thank you."), slot

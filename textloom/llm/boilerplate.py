@@ -180,7 +180,7 @@ def _features(batches):
                 no.append(n)
                 kind.append(kd)
                 out.append(o)
-                key.append(_hash(key_of(line)) if len(line) <= 200 else 0)
+                key.append(_hash(key_of(line)))
         t = pa.array(take, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("id").take(t), batch.column("site").take(t), pa.array(no, pa.int64()), pa.array(kind, pa.int32()), pa.array(out, pa.bool_()), pa.array(key, pa.int64())], names=["id", "site", "line_no", "kind", "out", "key"]
@@ -212,7 +212,7 @@ def page_lines(chunks: DataFrame, sources: DataFrame, prior: float = 3.0, types:
     pages = texts.join(web, "source_id").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), "site", "text", F.coalesce("name", "own").alias("title"))
     lines = durable(pages.mapInArrow(_features, f"id {kind}, site bigint, line_no bigint, kind int, out boolean, key bigint"), "page-lines")
     counted = [F.count("*").alias("n"), F.sum(F.col("out").cast("int")).alias("n_out")]
-    by_site = lines.where("key != 0").groupBy("site", "key").agg(*counted)
+    by_site = lines.groupBy("site", "key").agg(*counted)
     by_key = by_site.groupBy("key").agg(F.sum("n").alias("all"), F.sum("n_out").alias("all_out")).where("all > 2")
     known = by_site.join(by_key, "key").select("site", "key", "n", "n_out", "all", "all_out")
     own = F.col("out").cast("double")
