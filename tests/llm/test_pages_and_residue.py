@@ -1,7 +1,7 @@
 import random
 
 from textloom.llm.boilerplate import LINKS, density, lines_of, main_content, page_lines
-from textloom.llm.residue import PLACEHOLDER, found, judged, real_content, segments
+from textloom.llm.residue import PLACEHOLDER, found, judge_many, judged, real_content, segments
 
 random.seed(9)
 NOUNS = "barn tractor council ledger shard harvest library goblin silo meadow parcel engine river market".split()
@@ -92,3 +92,8 @@ def test_residue(spark):
     assert left.columns == df.columns and {r["extract_id"] for r in left.collect()} == {2, 6, 10, 11, 15} | {1000 + k for k in range(300)}
     assert found(df.limit(0)).count() == 0
     assert segments("One. Two!\nThree 3.5 four。五") == ["One.", "Two!", "Three 3.5 four。", "五"]
+
+
+def test_numbered_or_punctuated_repetition_is_residue():
+    filler = ["Item 1 item 2 item 3 item 4 item 5 item 6", "Bla, bla - BLA (bla) bla; Bla", "Row 10: row 11, row 12: row 13, ROW 14: row 15"]
+    assert [kind for kind, _ in judge_many([*filler, prose(1)], [])] == ["residue"] * 3 + [""]

@@ -173,9 +173,9 @@ def judge_many(texts: list[str | None], tables: list[np.ndarray], share: float =
                 if c >= 0.7:
                     residue += _weight(s)
                     continue
-                if s.count(" ") >= 5 and len(set(s.split())) * 3 <= s.count(" ") + 1:  # hardly any different words
+                if s.count(" ") >= 5:
                     words = _WORD.findall(s.lower())
-                    if len(words) >= 6 and len(set(words)) <= max(2, len(words) // 6):
+                    if len(words) >= 6 and len(set(words)) <= max(2, len(words) // 6):  # hardly any different words
                         residue += _weight(s)
                         continue
                 if _sentence(s):
