@@ -95,6 +95,13 @@ def test_context(spark, chunks):
     assert [(r["chunk_id"], r["distance"]) for r in context.parent_chains(chunks, spark.createDataFrame([("c6",)], "id string")).orderBy("distance").collect()] == [("c3", 1), ("c1", 2), ("c0", 3)]
 
 
+def test_parent_chains_reach_the_root_and_end_at_loops(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(17)] + [("a", "b"), ("b", "a")]
+    deep = spark.createDataFrame(rows, "chunk_id string, parent_id string")
+    got = {(r["hit_id"], r["chunk_id"], r["distance"]) for r in context.parent_chains(deep, spark.createDataFrame([("n16",), ("a",)], "id string")).collect()}
+    assert got == {("n16", f"n{16 - d}", d) for d in range(1, 17)} | {("a", "b", 1)}
+
+
 def test_diagnostics(spark):
     hits = spark.createDataFrame([("a", 1, 0.9), ("b", 2, 0.7), ("c", 3, 0.2), ("d", 4, 0.1)], "id string, rank int, score double")
     got = diagnostics.compare(hits, spark.createDataFrame([("a",), ("x",), ("a",)], "id string")).first().asDict()

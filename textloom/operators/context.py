@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from textloom.runtime import durable, release
 from textloom.schema import ExpandConfig
 
 
@@ -51,17 +54,21 @@ def hydrate(chunks: DataFrame, hits: DataFrame, cfg: ExpandConfig = ExpandConfig
     return out.select("hit_id", "chunk_id", "role", "distance")
 
 
-def parent_chains(chunks: DataFrame, hits: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(hit_id, chunk_id, distance): the ancestors of the hits, nearest first, at most ``max_depth`` of them and none twice.
+def parent_chains(chunks: DataFrame, hits: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(hit_id, chunk_id, distance): the ancestors of the hits, nearest first, up to the root and none twice; at most ``max_depth`` of them if given.
 
-    One broadcast-free join per step; for whole forests of any depth see hierarchy().
+    One join per step, written to the shared folder, until no hit has a further ancestor; for whole
+    forests of any depth see hierarchy().
     """
-    up = chunks.select(F.lower(F.trim("chunk_id")).alias("up_node"), F.col("chunk_id").alias("up_id"), F.lower(F.trim("parent_id")).alias("up_parent"))
+    up = durable(chunks.select(F.lower(F.trim("chunk_id")).alias("up_node"), F.col("chunk_id").alias("up_id"), F.lower(F.trim("parent_id")).alias("up_parent")), "chain-links")
     now = hits.select(F.col("id").alias("up_id")).join(up, "up_id").select(F.col("up_id").alias("hit_id"), F.col("up_parent").alias("parent"), F.array("up_node").alias("seen"))
-    found = None
-    for d in range(1, max_depth + 1):
-        step = now.join(up, F.col("parent") == F.col("up_node")).where(~F.array_contains("seen", F.col("up_node"))).select("hit_id", "up_id", "up_parent", F.array_append("seen", F.col("up_node")).alias("seen"))
-        row = step.select("hit_id", F.col("up_id").alias("chunk_id"), F.lit(d).alias("distance"))
-        found = row if found is None else found.union(row)
+    found: list[DataFrame] = []
+    while max_depth is None or len(found) < max_depth:
+        step = now.join(up, F.col("parent") == F.col("up_node")).where(~F.array_contains("seen", F.col("up_node")))
+        step = durable(step.select("hit_id", "up_id", "up_parent", F.array_append("seen", F.col("up_node")).alias("seen")), "chain-step")
+        found.append(step.select("hit_id", F.col("up_id").alias("chunk_id"), F.lit(len(found) + 1).alias("distance")))
+        if step.isEmpty():
+            break
         now = step.select("hit_id", F.col("up_parent").alias("parent"), "seen")
-    return found
+    release(up)
+    return reduce(DataFrame.union, found)
