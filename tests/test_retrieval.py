@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from textloom.functions.vectors import cosine, l2_normalize, local_embedding, mock_embedding, seeded_vector
 from textloom.operators import context, diagnostics, retrieval
 from textloom.operators.classify import classify
+from textloom.plans import search
 from textloom.schema import ExpandConfig, RetrievalProfile
 
 ROWS = [("a", "red barn. red", [1.0, 0.0], "x"), ("b", "blue barn", [0.0, 1.0], "y"), ("c", "green", [1.0, 1.0], "x"), ("d", None, None, "x"), ("e", "red barn. red", [1.0, 0.0], None), ("f", "", [0.0, 0.0], "x")]
@@ -68,6 +69,14 @@ def test_many_queries_at_once(spark, rows):
     assert got == {(1, "b"): 1.0, (1, "a"): 0.5, (2, "c"): 1.0}
 
 
+def test_every_hundredth_document_is_a_query(spark, tmp_path):
+    rows = [(i, f"word{i} common", None if i == 100 else "?" if i == 200 else f"Word{i + 1}") for i in range(401)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, title string").write.parquet(str(tmp_path / "documents.parquet"))
+    hits = search.search_documents(spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["id"], r["score"]) for r in hits if r["rank"] == 1} == {(0, 1, 1.0), (100, 100, 1.0), (200, 200, 1.0), (300, 301, 1.0)}
+    assert sum(r["query_id"] == 100 for r in hits) == 10
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(F.round(cosine(F.col("a"), F.col("b")), 9)).collect()] == [1.0, 0.0, 0.0]

@@ -159,6 +159,13 @@ def search_many(spark, sf_dir):
     return r.select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("search_documents")
+def search_documents(spark, sf_dir):
+    """Ten documents for every document whose id is divisible by 100, among all documents; its title is the query, its text where the title is null or has no words."""
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text"), F.max("title").alias("title"))
+    query = F.coalesce(F.when(F.col("title").rlike(r"[\p{L}\p{N}]"), F.col("title")), F.col("text"))
+    r = retrieval.search_many(docs, docs.where("id % 100 = 0").select(F.col("id").alias("query_id"), query.alias("query")))
+    return r.select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("hits_with_sources", f"WITH {ROWS}, h AS ({top('rat', 10, 'score > 0')}), n AS (SELECT source_id, source_name, type, uri FROM source_records QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY source_name DESC NULLS LAST, type DESC NULLS LAST, uri DESC NULLS LAST) = 1) SELECT h.id, round(h.score, 4) AS score, h.rank, n.source_name, n.type, n.uri FROM h LEFT JOIN r USING (id) LEFT JOIN n USING (source_id)")
