@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators.hierarchy import descendant_counts, hierarchy
+from textloom.operators.hierarchy import descendant_counts, descendants, hierarchy
 from textloom.plans.registry import Registry
 from textloom.runtime import durable, table
 
@@ -38,3 +38,10 @@ def p6_paths(spark, sf_dir):
     """Per chunk its full path from the root, depth, and the number of children and of all descendants."""
     f = durable(chunk_forest(spark, sf_dir, with_path=True), "paths")
     return f.join(descendant_counts(f), "node").select(F.col("node").alias("chunk_id"), "root", "depth", "path", "n_children", "n_descendants")
+
+
+@registry.query("p6_descendants", f"""WITH RECURSIVE {CURRENT}, s AS (SELECT node, depth, string_split(path, ' > ') AS ups FROM f WHERE path IS NOT NULL), u AS (SELECT node, depth, ups, unnest(range(depth)) AS level FROM s)
+SELECT ups[level + 1] AS ancestor, node AS descendant, depth - level AS distance FROM u""")
+def p6_descendants(spark, sf_dir):
+    """Every pair of a chunk and one below it, with their distance."""
+    return descendants(chunk_forest(spark, sf_dir, with_path=True))
