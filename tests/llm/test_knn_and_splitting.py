@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm.knn import nearest, search, similar_pairs, usable_vectors
+from textloom.llm.knn import collisions, design, nearest, search_list, similar_pairs, usable_vectors
 from textloom.llm.splitting import block_starts, pack, pieces, split_blocks, split_oversized
 
 SCHEMA = "chunk_id string, embedding array<float>, model string, created_at timestamp"
@@ -32,26 +32,28 @@ def test_recall_against_brute_force(spark):
     df = spark.createDataFrame([(i, v.tolist(), "m", when) for i, v in zip(ids, x)], SCHEMA)
     want, sims = exact(ids, x, 10)
     got = {}
-    for r in nearest(df, k=10, cell_rows=150).collect():
+    for r in nearest(df, k=10).collect():
         got.setdefault(r["chunk_id"], set()).add(r["neighbour"])
         assert 1 <= r["rank"] <= 10
     recall = np.mean([len(got[i] & want[i]) / 10 for i in ids])
     assert recall >= 0.9 and all(len(g) == 10 for g in got.values())
     at = {i: k for k, i in enumerate(ids)}
-    pairs = {tuple(r) for r in similar_pairs(nearest(df, k=10, least=0.8, cell_rows=150)).collect()}
+    pairs = {tuple(r) for r in similar_pairs(nearest(df, k=10, least=0.8)).collect()}
     true = {tuple(sorted((a, b))) for a in ids for b in want[a] if sims[at[a], at[b]] >= 0.8}
     assert len(pairs & true) >= 0.95 * len(true) and len(pairs - true) <= 0.02 * len(true)
 
 
-def test_large_cells_are_searched_in_blocks_without_loss(spark):
+def test_long_lists_are_searched_in_windows(spark):
     import datetime
 
     x = clustered(900, centres=1)
     ids = [f"v{i:05d}" for i in range(len(x))]
     df = spark.createDataFrame([(i, v.tolist(), "m", datetime.datetime(2024, 1, 1)) for i, v in zip(ids, x)], SCHEMA)
-    one = {tuple(r)[:2] for r in nearest(df, k=5, cell_rows=10_000).collect()}
-    many = {tuple(r)[:2] for r in nearest(df, k=5, cell_rows=10_000, block_rows=100).collect()}
-    assert len(one & many) >= 0.97 * len(one)
+    want, _ = exact(ids, x, 5)
+    one = {tuple(r)[:2] for r in nearest(df, k=5, list_rows=10_000).collect()}
+    many = {tuple(r)[:2] for r in nearest(df, k=5, list_rows=10_000, window=400).collect()}
+    true = {(a, b) for a in ids for b in want[a]}
+    assert len(one & true) >= 0.9 * len(true) and len(many & true) >= 0.8 * len(true)
 
 
 def test_unusable_vectors_models_and_copies(spark):
@@ -73,8 +75,27 @@ def test_unusable_vectors_models_and_copies(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_collisions_are_counted_once_and_in_the_first_shared_list():
+    rng = np.random.default_rng(4)
+    ends = np.sort(np.array([rng.choice(12, 4, replace=False) for _ in range(60)]), axis=1)
+    ends = ends[(ends == 5).any(axis=1)]
+    for settled in (12, 3):
+        got = {(int(a), int(b)): int(c) for x in collisions(ends, 5, settled, rows=7) for a, b, c in zip(*x)}
+        want = {}
+        for a in range(len(ends)):
+            for b in range(a + 1, len(ends)):
+                both = set(ends[a]) & set(ends[b])
+                if len(both) > 1 and min(both) >= min(5, settled):
+                    want[a, b] = len(both) - 1
+        assert got == want
+
+
+def test_design_grows_with_the_collection():
+    assert design(0)[0] >= 2 and design(10**5)[1] > design(10**3)[1] and design(10**6)[0] > design(10**5)[0] and design(10**12)[0] == 65_536
+
+
 def test_search_of_nothing():
-    q, d, s = search(np.empty((0, 64)), np.empty((0, 64)), None, 3, -1.0, 8)
+    q, d, s = search_list(np.empty(0, np.int64), np.empty((0, 64)), np.empty((0, 3), np.int32), 0, 3, np.empty(0, np.int32), 3, -1.0, 2)
     assert len(q) == len(d) == len(s) == 0
 
 

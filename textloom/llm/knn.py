@@ -1,129 +1,157 @@
-"""Problem 3: the k most similar vectors of every vector, by collision-counting hashing inside cells."""
+"""Problem 3: the k most similar vectors of every vector, by collision counting over single-projection sorted arrays."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from textloom.runtime import durable, release
 
-#: Similarity levels at which the query-centred windows are widened (virtual rehashing).
-LEVELS = (0.9, 0.8, 0.6, 0.3, -1.0)
-_SCALE = 254.0  # projections of unit vectors, in 1/254 steps, as one byte
-
 
-def _unit(batch_column, dim: int) -> np.ndarray:
-    flat = batch_column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _unit(column, dim: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def fit_pivots(sample: np.ndarray, count: int, rounds: int = 5, seed: int = 11) -> np.ndarray:
-    """Spherical k-means over a bounded sample of unit vectors."""
-    rng = np.random.default_rng(seed)
-    sample = sample.astype(np.float32)
-    pivots = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
-    for _ in range(rounds):
-        near = np.concatenate([np.argmax(sample[i : i + 2048] @ pivots.T, axis=1) for i in range(0, len(sample), 2048)])
-        sums = np.zeros_like(pivots)
-        np.add.at(sums, near, sample)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        pivots = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), pivots)
-    return pivots
+def design(n: int, list_rows: int = 900, max_ends: int = 65_536) -> tuple[int, int]:
+    """(ends, depth) for n vectors: how many array ends there are, and at how many of them a vector is posted.
+
+    ``depth`` grows with the logarithm of n, so that recall holds; ``ends`` grows with n, so that a
+    list at an end keeps about ``list_rows`` rows and the work per query hardly grows.
+    """
+    depth = max(5, round(4 * math.log10(max(n, 10)) - 9))
+    ends = min(max_ends, max(2 * depth, -(-n * depth // list_rows)))
+    return ends + ends % 2, depth
+
+
+def directions(ends: int, dim: int, seed: int = 5) -> np.ndarray:
+    """Random directions; each is one sorted array, whose two ends are numbered k and k + ends / 2."""
+    return np.random.default_rng(seed).standard_normal((dim, ends // 2)).astype(np.float32)
+
+
+def outermost(x: np.ndarray, a: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per vector the ``depth`` array ends it lies nearest to, and how far out it lies there."""
+    v = x.astype(np.float32) @ a
+    v = np.concatenate((v, -v), axis=1)
+    depth = min(depth, v.shape[1])
+    at = np.argpartition(-v, depth - 1, axis=1)[:, :depth] if depth < v.shape[1] else np.tile(np.arange(depth), (len(v), 1))
+    return at.astype(np.int32), np.take_along_axis(v, at, 1)
+
 
+def _sizes(plan: dict[str, tuple[int, int]], dim: int):
+    """(model, end, n): how many of a task's vectors are posted at every end."""
 
-def _assign(pivots: dict[str, np.ndarray], dim: int, probes: int):
     def run(batches):
+        arrays = {m: directions(ends, dim) for m, (ends, _) in plan.items()}
+        total = {m: np.zeros(ends, np.int64) for m, (ends, _) in plan.items()}
         for batch in batches:
-            ids, models = batch.column(0), np.array(batch.column(1).to_pylist(), object)
-            x = _unit(batch.column(2), dim)
-            cells: list = [[]] * len(ids)
-            for model, p in pivots.items():
-                own = np.flatnonzero(models == model)
-                n = min(probes, len(p))
-                for i in range(0, len(own), 2048):
-                    part = own[i : i + 2048]
-                    near = x[part].astype(np.float32) @ p.T
-                    best = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(p) else np.tile(np.arange(n), (len(part), 1))
-                    for k, c in zip(part, best):
-                        cells[k] = c
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32()))], names=["id", "model", "cells"])
+            models, x = np.array(batch.column(0).to_pylist(), object), _unit(batch.column(1), dim)
+            for m, (ends, depth) in plan.items():
+                own = np.flatnonzero(models == m)
+                for i in range(0, len(own), 1024):
+                    total[m] += np.bincount(outermost(x[own[i : i + 1024]], arrays[m], depth)[0].ravel(), minlength=ends)
+        for m, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["model", "end", "n"])
 
     return run
 
 
-def search(queries: np.ndarray, data: np.ndarray, same: np.ndarray | None, k: int, least: float, projections: int, seed: int = 5):
-    """(query, datum, similarity): up to k most similar per query among those that collide often enough.
+def _post(plan: dict[str, tuple[int, int]], dim: int, order: dict[str, np.ndarray], with_vectors: bool = True):
+    """(id, model, ends, places[, embedding]): the ends of every vector, numbered and sorted by the length of their lists."""
 
-    Every projection is a sorted array of its own kind of bucket numbers; around the query's number a
-    window of ±radius is taken, and a vector that lies in the window of at least ``need`` projections
-    is verified by its cosine. If fewer than k verified vectors reach the level's similarity, the
-    query's windows widen to the next level.
+    def run(batches):
+        arrays = {m: directions(ends, dim) for m, (ends, _) in plan.items()}
+        for batch in batches:
+            models, x = np.array(batch.column(1).to_pylist(), object), _unit(batch.column(2), dim)
+            ends, places = [None] * len(models), [None] * len(models)
+            for m, (_, depth) in plan.items():
+                own = np.flatnonzero(models == m)
+                for i in range(0, len(own), 1024):
+                    part = own[i : i + 1024]
+                    at, far = outermost(x[part], arrays[m], depth)
+                    at = order[m][at]
+                    s = np.argsort(at, axis=1)
+                    for k, e, f in zip(part, np.take_along_axis(at, s, 1), np.take_along_axis(far, s, 1)):
+                        ends[k], places[k] = e, f
+            cols = [*batch.columns[:2], pa.array(ends, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.float32())), *batch.columns[2 : 3 if with_vectors else 2]]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "model", "ends", "places", "embedding"][: len(cols)])
+
+    return run
+
+
+def collisions(ends: np.ndarray, here: int, settled: int, rows: int = 256):
+    """Blocks (a, b, count), a < b, of rows that collide at end ``here`` and at further ends.
+
+    ``count`` leaves ``here`` itself out. Pairs that collide at an end before ``here`` and before
+    ``settled`` are left out: the list of that end has them. Only rows that meet in another list are
+    touched, and ``rows`` of them at a time.
+    """
+    n, depth = ends.shape
+    flat, row = ends.ravel(), np.repeat(np.arange(n), depth)
+    other = flat != here
+    flat, row = flat[other], row[other]
+    s = np.argsort(flat, kind="stable")  # within a list the rows stay in order
+    flat, row = flat[s], row[s]
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, int)
+    size = np.diff(np.r_[start, len(flat)])
+    behind = np.repeat(start + size, size) - np.arange(len(flat)) - 1  # how many of the same list follow each posting
+    early = flat < min(here, settled)
+    by_row = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[by_row], np.arange(0, n + rows, rows))
+    for k, r0 in enumerate(range(0, n, rows)):
+        own = by_row[cuts[k] : cuts[k + 1]]
+        more = behind[own]
+        first = np.repeat(own, more)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
+        key = (row[first] - r0) * n + row[second]
+        met = np.bincount(key, minlength=0)
+        met[key[early[first]]] = 0
+        at = np.flatnonzero(met)
+        yield at // n + r0, at % n, met[at]
+
+
+def best(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k greatest similarities of every q, ties by d."""
+    order = np.lexsort((d, -s, q))
+    g = q[order]
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
+    return order[np.arange(len(g)) - np.repeat(first, np.diff(np.r_[first, len(g)])) < k]
+
+
+def search_list(ids: np.ndarray, x: np.ndarray, ends: np.ndarray, here: int, settled: int, side: np.ndarray, k: int, least: float, need: int):
+    """(id, other, similarity) of one list: pairs with at least ``need`` collisions, verified by their cosine.
+
+    ``side`` tells two neighbouring windows of a long list apart; pairs within the second (side 1) are left to its own task.
     """
-    dim = data.shape[1]
-    a = np.random.default_rng(seed).standard_normal((dim, projections))
-    a /= np.linalg.norm(a, axis=0)
-    code = lambda x: np.clip(np.rint(x @ a * _SCALE) + 127, 0, 254).astype(np.uint8)
-    qc, dc = code(queries), np.ascontiguousarray(code(data).T)
-    need = int(round(projections * 0.62))
-    levels = [s for s in LEVELS if s > least] + [max(least, -1.0)]
-    out_q, out_d, out_s = [], [], []
-    block = max(1, 4_000_000 // max(1, len(data)))
-    for i in range(0, len(queries), block):
-        todo = np.arange(i, min(i + block, len(queries)))
-        for level in levels:
-            if level <= -1:
-                q, d = (m.ravel() for m in np.meshgrid(todo, np.arange(len(data)), indexing="ij"))
-            else:
-                radius = min(127, max(1, int(np.ceil(1.3 * np.sqrt(2 - 2 * level) / np.sqrt(dim) * _SCALE))))
-                counts = np.zeros((len(todo), len(data)), np.uint8)
-                apart, near = np.empty_like(counts), np.empty(counts.shape, bool)
-                for j in range(projections):  # bytes wrap around: mine - theirs + radius is at most 2 radius inside the window
-                    np.subtract(qc[todo, j][:, None], (dc[j] - np.uint8(radius))[None, :], out=apart)
-                    np.less_equal(apart, np.uint8(2 * radius), out=near)
-                    np.add(counts, near.view(np.uint8), out=counts)
-                at, d = np.nonzero(counts >= need)
-                q = todo[at]
-            if same is not None:
-                other = same[q] != d
-                q, d = q[other], d[other]
-            s = np.concatenate([np.einsum("ij,ij->i", queries[q[j : j + 200_000]], data[d[j : j + 200_000]]) for j in range(0, len(q), 200_000)] or [np.empty(0)])
-            reached = np.bincount(q[s >= level] - i, minlength=len(queries) - i)[todo - i] >= k
-            last = level == levels[-1]
-            final = np.ones(len(todo), bool) if last else reached
-            chosen = np.zeros(len(queries), bool)
-            chosen[todo[final]] = True
-            keep = chosen[q] & (s >= least)
-            q, d, s = q[keep], d[keep], s[keep]
-            order = np.lexsort((d, -s, q))
-            q, d, s = q[order], d[order], s[order]
-            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-            rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-            top = rank < k
-            out_q.append(q[top])
-            out_d.append(d[top])
-            out_s.append(s[top])
-            todo = todo[~final]
-            if not len(todo):
-                break
-    return tuple(np.concatenate(x) if x else np.empty(0, t) for x, t in ((out_q, int), (out_d, int), (out_s, float)))
-
-
-def _search_cell(dim: int, k: int, least: float, projections: int):
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for a, b, met in collisions(ends, here, settled):
+        keep = (met >= need - 1) & ((side[a] == 0) | (side[b] == 0))
+        a, b = a[keep], b[keep]
+        for i in range(0, len(a), 50_000):
+            p, q = a[i : i + 50_000], b[i : i + 50_000]
+            sims = np.einsum("ij,ij->i", x[p], x[q])
+            keep = sims >= least
+            out.append((p[keep], q[keep], sims[keep]))
+    a, b, sims = (np.concatenate(c) for c in zip(*out))
+    q, d, s = np.r_[a, b], np.r_[b, a], np.r_[sims, sims]
+    top = best(q, ids[d], s, k)
+    return ids[q[top]], ids[d[top]], s[top]
+
+
+def _search(dim: int, k: int, least: float, need: int, settled: dict[str, int]):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
-        x = _unit(rows["embedding"].chunk(0) if rows.num_rows else rows["embedding"].combine_chunks(), dim)
-        if (side == 0).all():
-            q, d, s = search(x, x, np.arange(len(x)), k, least, projections)
-            out = [(ids[q], ids[d], s)]
-        else:  # two different blocks of one large cell: each is searched for the other
-            one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-            q, d, s = search(x[one], x[two], None, k, least, projections)
-            r, e, t = search(x[two], x[one], None, k, least, projections)
-            out = [(ids[one][q], ids[two][d], s), (ids[two][r], ids[one][e], t)]
-        a, b, s = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"id": pa.array(a), "other": pa.array(b), "similarity": pa.array(s)})
+        if rows.num_rows < 2:
+            return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        ids, side, here = rows["id"].to_numpy(), rows["side"].to_numpy(), rows["end"][0].as_py()
+        x = _unit(rows["embedding"].chunk(0), dim)
+        ends = rows["ends"].chunk(0).flatten().to_numpy().reshape(len(ids), -1)
+        out = search_list(ids, x, ends, here, settled[rows["model"][0].as_py()], side, k, least, need)
+        return pa.table({"id": pa.array(out[0]), "other": pa.array(out[1]), "similarity": pa.array(out[2])})
 
     return run
 
@@ -139,50 +167,70 @@ def usable_vectors(df: DataFrame, dim: int = 64) -> DataFrame:
     return latest.where(F.col("model").isNotNull() & (F.size("embedding") == dim) & ~bad & F.exists("embedding", lambda v: v != 0))
 
 
-def nearest(df: DataFrame, k: int = 10, least: float = -1.0, dim: int = 64, probes: int = 3, cell_rows: int = 500, max_pivots: int = 4096, sample_rows: int = 20_000, block_rows: int = 6000, projections: int = 32) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, least: float = -1.0, dim: int = 64, need: int = 2, list_rows: int = 900, window: int = 4000, max_ends: int = 65_536) -> DataFrame:
     """(chunk_id, neighbour, similarity, rank): the k most similar others of the same model, of at least ``least`` similarity.
 
     Only usable vectors count (see usable_vectors). Similarity is the cosine in double precision; ties
     are put in order of the neighbour's id. Equal vectors form one class that is searched once; its
     members are each other's nearest. An empty table gives an empty result; other columns are ignored.
 
-    Method: counting collisions over a whole collection costs every query a share of all rows, so the
-    vectors are first put into cells, each into those of its ``probes`` nearest pivots (k-means per
-    model over at most ``sample_rows`` rows; about ``cell_rows`` rows per pivot, at most
-    ``max_pivots``: 1 MB). All vectors are indexed and all are queries. Inside a cell, collisions of
-    single projections are counted in query-centred windows (see search). A cell with more than
-    ``block_rows`` rows is searched in blocks, every pair of blocks in a task of its own, so a cell
-    of any size fits and loses nothing.
+    Method: every random direction is a sorted array of the vectors' projections. Around a query that
+    lies in the middle of an array a window holds a share of all rows, which makes counting over all
+    arrays quadratic for all queries together; so a query opens windows only in the arrays at whose
+    ends it lies (the ``depth`` outermost of ``ends``, see design; both follow the number of vectors).
+    Two vectors collide where they lie at the same end; pairs with at least ``need`` collisions are
+    verified by their cosine. Of a vector's lists the ``need - 1`` longest needn't be posted, since
+    pairs with enough collisions meet in one of the others; a pair is counted in the shortest list it
+    shares, so no counts are shuffled. Lists of more than ``window`` rows are cut into windows of
+    projections, each with its neighbour in one task, so a vector is compared with at least the
+    ``window`` / 2 rows around it and a list of any length is no hot group. Nothing is fitted or sampled.
+
+    What the driver sees is one count per model and per end (at most ``max_ends`` a model).
     """
     spark = df.sparkSession
     current = usable_vectors(df, dim).withColumn("id", F.xxhash64("model", "embedding"))
     current = durable(current, "knn-vectors")
-    keys = durable(current.select("id", "chunk_id"), "knn-keys")
+    keys = durable(current.select("id", "chunk_id", "model"), "knn-keys")
     same = W.partitionBy("id").orderBy("chunk_id")
-    members = durable(keys.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1), "knn-members")
-    vectors = durable(current.groupBy("id").agg(F.first("model").alias("model"), F.first("embedding").alias("embedding")), "knn-classes-vectors")
-    pivots = {}
-    for model, n in sorted((r[0], r[1]) for r in current.groupBy("model").count().collect()):
-        sample = current.where(F.col("model") == model).orderBy(F.xxhash64("chunk_id")).limit(sample_rows).select("embedding").toArrow()
-        pivots[model] = fit_pivots(_unit(sample["embedding"].combine_chunks(), dim), max(1, min(max_pivots, n // cell_rows)))
+    members = durable(keys.select("id", "chunk_id", F.row_number().over(same).alias("n")).where(F.col("n") <= k + 1), "knn-members")
+    vectors = durable(current.select("id", "model", "embedding").dropDuplicates(["id"]), "knn-classes-vectors")
     release(current)
-    placed = durable(vectors.select("id", "model", "embedding").mapInArrow(_assign(pivots, dim, probes), "id bigint, model string, cells array<int>"), "knn-cells")
-    placed = placed.select("id", "model", F.explode("cells").alias("cell"))
-    sizes = placed.groupBy("model", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
-    spread = placed.join(F.broadcast(sizes), ["model", "cell"]).withColumn("mine", mine).join(vectors.select("id", "embedding"), "id")  # sizes: at most max_pivots rows a model
-    pairs = spread.select("id", "model", "cell", "embedding", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("theirs")).select(
-        "id", "model", "cell", "embedding", F.least("mine", "theirs").alias("b0"), F.greatest("mine", "theirs").alias("b1"), F.when(F.col("mine") == F.col("theirs"), 0).when(F.col("mine") < F.col("theirs"), 1).otherwise(2).alias("side")
-    )
-    found = durable(pairs.groupBy("model", "cell", "b0", "b1").applyInArrow(_search_cell(dim, k, least, projections), "id bigint, other bigint, similarity double"), "knn-found")
+    plan = {r["model"]: design(r["n"], list_rows, max_ends) for r in vectors.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    sizes = vectors.select("model", "embedding").mapInArrow(_sizes(plan, dim), "model string, end int, n bigint").groupBy("model", "end").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    order, long, settled = {}, [], {}
+    for m, (ends, _) in plan.items():
+        n = np.zeros(ends, np.int64)
+        own = sizes[sizes["model"] == m]
+        n[own["end"].to_numpy()] = own["n"].to_numpy()
+        order[m] = np.empty(ends, np.int32)
+        order[m][np.argsort(n, kind="stable")] = np.arange(ends)
+        settled[m] = int((n <= window).sum())
+        long += [(m, int(order[m][e]), int(-(-2 * n[e] // window))) for e in np.flatnonzero(n > window)]
+    slim = "id bigint, model string, ends array<int>, places array<float>"
+    zipped = F.arrays_zip("ends", "places")
+    numbered = vectors.select("id", "model", "embedding").mapInArrow(_post(plan, dim, order), f"{slim}, embedding array<float>")
+    posts = numbered.select("id", "model", "embedding", "ends", F.explode(F.slice(zipped, F.lit(1), F.size("ends") - (need - 1))).alias("p")).select("id", "model", "embedding", "ends", F.col("p.ends").alias("end"), F.col("p.places").alias("place"))
+    if long:
+        lists = spark.createDataFrame(long, "model string, end int, cuts int")  # fewer than ends a model
+        places = vectors.select("id", "model", "embedding").mapInArrow(_post(plan, dim, order, False), slim).select("model", F.explode(zipped).alias("p")).select("model", F.col("p.ends").alias("end"), F.col("p.places").alias("place"))
+        marks = places.join(lists, ["model", "end"]).groupBy("model", "end").agg(F.percentile_approx("place", [i / 1000 for i in range(1, 1000)], 20_000).alias("permille"), F.max("cuts").alias("cuts"))
+        # windows of equal share of the list; more than a thousand of them would need finer marks
+        marks = durable(marks.select("model", "end", F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.col("cuts"), F.lit(1000)) - 1), lambda i: F.get("permille", F.floor(i * 1000 / F.least("cuts", F.lit(1000))).cast("int") - 1))).alias("marks")), "knn-marks")
+        posts = posts.join(marks, ["model", "end"], "left").withColumn("w", F.coalesce(F.size(F.filter("marks", lambda m: m < F.col("place"))), F.lit(0)))
+        pair = F.when(F.col("marks").isNull() | (F.col("w") == 0), F.array(F.struct(F.col("w").alias("g"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("w").alias("g"), F.lit(0).alias("side")), F.struct((F.col("w") - 1).alias("g"), F.lit(1).alias("side"))))
+        posts = posts.select("id", "model", "embedding", "ends", "end", F.explode(pair).alias("p")).select("id", "model", "embedding", "ends", "end", F.col("p.g").alias("g"), F.col("p.side").alias("side"))
+    else:
+        posts = posts.select("id", "model", "embedding", "ends", "end", F.lit(0).alias("g"), F.lit(0).alias("side"))
+    found = posts.groupBy("model", "end", "g").applyInArrow(_search(dim, k, least, need, settled), "id bigint, other bigint, similarity double").repartition("id")
+    if long:  # pairs of long lists may come from several
+        found = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    nearer = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    classes = durable(found.withColumn("place", F.row_number().over(nearer)).where(F.col("place") <= k).drop("place"), "knn-classes")
     release(vectors)
-    best = W.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    classes = durable(found.groupBy("id", "other").agg(F.max("similarity").alias("similarity")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place"), "knn-classes")
-    release(found)
     across = classes.join(members.select(F.col("id").alias("other"), F.col("chunk_id").alias("neighbour")), "other").select("id", "neighbour", "similarity")
     inside = members.join(members.where("n = 2").select("id"), "id", "left_semi").select("id", F.col("chunk_id").alias("neighbour"), F.lit(1.0).alias("similarity"))
     ranked = W.partitionBy("chunk_id").orderBy(F.desc("similarity"), "neighbour")
-    return keys.join(across.union(inside), "id").where("chunk_id != neighbour").select("chunk_id", "neighbour", "similarity", F.row_number().over(ranked).alias("rank")).where(F.col("rank") <= k)
+    return keys.select("id", "chunk_id").join(across.union(inside), "id").where("chunk_id != neighbour").select("chunk_id", "neighbour", "similarity", F.row_number().over(ranked).alias("rank")).where(F.col("rank") <= k)
 
 
 def similar_pairs(neighbours: DataFrame, least: float = 0.8) -> DataFrame:
