@@ -61,6 +61,23 @@ def test_a_third_of_all_rows_in_one_group(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[i] == i for i in range(300, 900))
 
 
+def test_copies_behind_a_hub_that_is_like_neither_and_split_postings(spark):
+    random.seed(5)
+    common = random.choices(VOCABULARY, k=45)
+    rows = []
+    for i in range(120):  # a third shares most of one template, too little for a link; every tenth has a true near-copy
+        own = common + random.choices(VOCABULARY, k=40)
+        rows.append((i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(edited(own, 3))))
+    rows += [(i, " ".join(random.choices(VOCABULARY, k=80))) for i in range(200, 440)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = groups_by_brute_force(rows)
+    assert sum(want[i] != i for i in want) >= 10
+    for heavy in (500, 3):
+        assert {r["id"]: r["group_id"] for r in near_duplicates(df, id_col="id", heavy=heavy).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "chunk_id string, text string")
     assert near_duplicates(df).count() == 0 and group_pairs(near_duplicates(df)).count() == 0

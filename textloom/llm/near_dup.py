@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.shingles import MULT, WordHashes, mix, permutations, shingle_hashes, signature
 from textloom.operators.components import connected_components
-from textloom.runtime import durable, release
+from textloom.runtime import durable, release, split_join
 
-def _signatures(bands: int, rows: int, words: int):
-    salts = permutations(bands * rows)
+
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """One posting key per (coordinate, value) pair."""
+    place = np.arange(len(sig), dtype=np.uint64) + np.uint64(1)
+    return (mix((sig.view(np.uint32).astype(np.uint64) << np.uint64(16)) ^ (place * MULT)) >> np.uint64(8)).view(np.int64)
+
+
+def _signatures(coordinates: int, words: int):
+    salts = permutations(coordinates)
 
     def run(batches):
         known, seen = WordHashes(), set()
@@ -28,12 +35,8 @@ def _signatures(bands: int, rows: int, words: int):
                 fps.append(fp)
                 if fp not in seen:  # copies within a task need no postings of their own
                     seen.add(fp)
-                    sig = signature(s, salts).reshape(bands, rows).astype(np.uint64)
-                    acc = np.arange(bands, dtype=np.uint64)
-                    for k in range(rows):
-                        acc = mix(acc + MULT) ^ sig[:, k]
-                    coords.append((mix(acc) >> np.uint64(16)).view(np.int64))
-                ends.append(bands * len(coords))
+                    coords.append(_keys(signature(s, salts)))
+                ends.append(coordinates * len(coords))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(np.array(ends, np.int32), np.concatenate(coords) if coords else np.empty(0, np.int64))],
                 names=["id", "fp", "coords"],
@@ -42,99 +45,128 @@ def _signatures(bands: int, rows: int, words: int):
     return run
 
 
-def _shingle_sets(words: int):
+def _sets(coordinates: int, words: int):
+    """(fp, sig, set): signature and whole set of shingle hashes of every class that is compared."""
+    salts = permutations(coordinates)
+
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            sets = [np.unique((shingle_hashes(t, words, known) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "set"])
+            sets = [shingle_hashes(t, words, known) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s, salts).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "sig", "set"])
 
     return run
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, matches: int):
+    """Count the coordinates in which the two signatures agree; pairs with enough are verified on the whole sets."""
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1), np.int32) for c in ("us", "vs"))
+            keep = (u == v).sum(axis=1) >= matches
+            at = np.flatnonzero(keep)
+            part = batch.take(pa.array(at))
+            for k, a, b in zip(at, part.column("ut").to_pylist(), part.column("vt").to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+                    keep[k] = False
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                keep[k] = both >= threshold * (len(x) + len(y) - both) - 1e-9
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, coordinates: int = 26, values: int = 3, matches: int = 2) -> DataFrame:
-    """(id, group_id, set_id, n_links) for every text that has at least ``words`` words.
+def _alive(posts: DataFrame, matches: int) -> DataFrame:
+    """(fp, keys): per class its postings that others share too, rarest first; classes with fewer than ``matches`` of them can't be linked and are skipped."""
+    shared = durable(posts.groupBy("key").agg(F.count("*").alias("df"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("key", "df"), "nd-shared")
+    return split_join(posts, shared, "key").groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= matches)  # at most one entry a coordinate
+
+
+def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, coordinates: int = 32, matches: int = 11, heavy: int = 500) -> DataFrame:
+    """(id, group_id, class_id) for every text that has at least ``words`` words.
 
     Two texts are linked if the Jaccard similarity of their word n-gram sets is at least
     ``threshold``; a group is all that is linked directly or through others, named by its least id.
-    Texts with equal sets form one class (``set_id``); ``n_links`` is the number of other classes a
-    class was verified to be linked with, along the links that were needed to find the groups.
-
-    Method: every class is posted under each (coordinate, value) pair of a MinHash signature. A
-    coordinate takes ``values`` MinHash values together, because the postings of single values of
-    common phrases grow with the corpus. Postings with one entry are skipped. Within a posting,
-    every class is first compared with a posting's least class only, beginning with the least over all
-    its postings; classes that are then in one component need no further comparison, and only pairs across components are still enumerated, their
-    collisions counted, and those with at least ``matches`` kept (at a similarity of 0.6 a pair
-    collides in 5.6 of 26 coordinates on average, in fewer than 2 with a probability of 1.5 %). So a
-    posting made of one big group of copies costs as many comparisons as it has members. All
-    candidate pairs are verified on the whole shingle sets.
+    Texts with equal sets form one class, named by its least id too.
+
+    Method: every class is posted under each (coordinate, value) pair of a MinHash signature. Pairs
+    that agree in at least ``matches`` of the ``coordinates`` are candidates (at a similarity of 0.6
+    all but 0.1 % of the pairs do), so what can't reach that count is skipped before any pair is
+    made: postings of one class, then classes with fewer than ``matches`` shared postings, twice over.
+    What is left is posted under its prefix only, with the rarest postings first: two classes that
+    share ``matches`` postings share one of all but the last ``matches - 1`` of either. Candidates'
+    agreeing coordinates are counted on the signatures, and pairs above the match threshold are
+    verified on the whole shingle sets.
+
+    Within a posting every class is first compared with the posting's least class only, beginning with
+    the least over all its postings; classes that are then in one component need no further
+    comparison, and only pairs across components are enumerated. So a posting made of one big group
+    of copies costs as many comparisons as it has members. A posting of more than ``heavy`` classes
+    that are still apart is split: its classes are posted under the pairs of it and one more posting
+    of the prefix, made longer by one, which pairs with at least two agreements share too.
 
     Null ids, null texts and texts with fewer words are in no group and give no row; repeated ids
     count once; other columns are ignored; an empty table gives an empty result.
     """
+    if not 2 <= matches <= coordinates:
+        raise ValueError("matches must be from 2 to the number of coordinates")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
-    marked = durable(rows.mapInArrow(_signatures(coordinates, values, words), f"id {kind}, fp bigint, coords array<bigint>"), "nd-signatures")
+    marked = durable(rows.mapInArrow(_signatures(coordinates, words), f"id {kind}, fp bigint, coords array<bigint>"), "nd-signatures")
     members = durable(marked.groupBy("id").agg(F.min("fp").alias("fp")), "nd-members")
-    posts = marked.select("fp", F.explode("coords").alias("key"))
-    shared = posts.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub != last").select("key", "hub")
-    linked = durable(posts.join(shared, "key").distinct(), "nd-postings")
+    once = durable(_alive(marked.select("fp", F.explode("coords").alias("key")), matches), "nd-alive")
     release(marked)
+    alive = durable(_alive(once.select("fp", F.explode("keys.key").alias("key")), matches), "nd-alive")
+    release(once)
+    prefix = F.slice("keys.key", F.lit(1), F.size("keys") - (matches - 1))
+    posts = durable(alive.select("fp", F.explode(prefix).alias("key")), "nd-postings")
 
+    hubs = posts.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub != last").select("key", "hub")
+    linked = durable(split_join(posts, hubs, "key"), "nd-linked")
     needed = linked.select("fp").distinct().join(members, "fp").groupBy("fp").agg(F.min("id").alias("id"))
-    sets = durable(rows.join(needed, "id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_shingle_sets(words), "fp bigint, set binary"), "nd-sets")
+    sets = durable(rows.join(needed, "id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_sets(coordinates, words), "fp bigint, sig binary, set binary"), "nd-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("fp").alias("u"), F.col("set").alias("a"))
-        b = sets.select(F.col("fp").alias("v"), F.col("set").alias("b"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u bigint, v bigint")
+        pairs = durable(pairs, "nd-pairs")
+        a = sets.select(F.col("fp").alias("u"), F.col("sig").alias("us"), F.col("set").alias("ut"))
+        b = sets.select(F.col("fp").alias("v"), F.col("sig").alias("vs"), F.col("set").alias("vt"))
+        out = durable(split_join(pairs, a, "u").join(b, "v").select("u", "v", "us", "vs", "ut", "vt").mapInArrow(_verify(threshold, matches), "u bigint, v bigint"), "nd-links")
+        release(pairs)
+        return out
 
     # every class with the least of its postings' hubs first; pairs whose ends are tied to one hub by then are connected
-    nearest = linked.groupBy("fp").agg(F.min("hub").alias("hub0"))
-    tied = durable(verified(nearest.where("fp != hub0").select(F.col("hub0").alias("u"), F.col("fp").alias("v"))), "nd-links")
+    nearest = durable(linked.groupBy("fp").agg(F.min("hub").alias("hub0")), "nd-nearest")
+    tied = verified(nearest.where("fp != hub0").select(F.col("hub0").alias("u"), F.col("fp").alias("v")))
     label = tied.select(F.col("v").alias("of"), F.col("u").alias("to"))
     open_hubs = (
         linked.where("fp != hub").select("fp", "hub").distinct().join(nearest, "fp").where("hub != hub0")
         .join(label.select(F.col("of").alias("fp"), F.col("to").alias("a")), "fp", "left").join(label.select(F.col("of").alias("hub"), F.col("to").alias("b")), "hub", "left")
         .where(F.coalesce("a", "fp") != F.coalesce("b", "hub")).select(F.col("hub").alias("u"), F.col("fp").alias("v"))
     )
-    star = durable(tied.unionByName(verified(open_hubs)), "nd-links")
-    release(tied)
+    star = tied.unionByName(verified(open_hubs))
     first = durable(connected_components(star), "nd-components")
-    placed = linked.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
-    placed = durable(placed, "nd-placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1 and n > 2").select("key")
+    placed = durable(linked.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "nd-placed")
+    mixed = durable(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1 and n > 2").select("key", (F.col("n") > heavy).alias("heavy")), "nd-mixed")
     open_posts = placed.join(mixed, "key")
-    x, y = open_posts.alias("x"), open_posts.alias("y")
-    crossing = x.join(y, F.expr("x.key = y.key and x.fp < y.fp and x.c != y.c")).groupBy(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).count().where(F.col("count") >= matches).select("u", "v")
-    more = durable(verified(crossing), "nd-links")
-    links = durable(star.unionByName(more), "nd-links")
-    label = connected_components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    classes = durable(
-        members.join(label.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left").select("id", "fp", F.coalesce("component", "fp").alias("c"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")),
-        "nd-classes",
-    )
-    release(members, linked, sets, star, first, placed, more, links)
+    longer = F.slice("keys.key", F.lit(1), F.size("keys") - (matches - 2))
+    more = open_posts.where("heavy").join(alive.select("fp", longer.alias("also")), "fp").select("key", "fp", "c", F.explode("also").alias("second")).where("second != key")
+    light = open_posts.where("not heavy").select("key", "fp", "c").unionByName(more.select(F.xxhash64("key", "second").alias("key"), "fp", "c"))
+    light = durable(light, "nd-open")
+    x, y = light.alias("x"), light.alias("y")
+    crossing = x.join(y, F.expr("x.key = y.key and x.fp < y.fp and x.c != y.c")).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
+    across = verified(crossing)
+    if across.isEmpty():
+        label = first
+    else:  # between components only
+        label = durable(connected_components(star.unionByName(across)), "nd-components")
+    classes = durable(members.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("id", "fp", F.coalesce("component", "fp").alias("c")), "nd-classes")
+    release(members, alive, posts, linked, sets, nearest, placed, mixed, light)
     names = classes.groupBy("c").agg(F.min("id").alias("group_id"))
-    return classes.join(names, "c").select("id", "group_id", F.col("fp").alias("set_id"), "n_links")
+    same = classes.groupBy("fp").agg(F.min("id").alias("class_id"))
+    return split_join(split_join(classes, names, "c"), same, "fp").select("id", "group_id", "class_id")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

@@ -92,9 +92,12 @@ def p5_found(spark, sf_dir):
     return group_pairs(durable(near_duplicates(table(spark, sf_dir, "chunk_records")), "nd-groups"))
 
 
-@registry.query("p5_groups")
+P5_GROUPS = P5[: P5.rindex("SELECT a.id")].replace("SELECT s.id, m.grp FROM", "SELECT s.id, m.grp, k.id AS class FROM") + "SELECT id AS chunk_id, grp AS group_id, class AS class_id FROM z"
+
+
+@registry.query("p5_groups", P5_GROUPS)
 def p5_groups(spark, sf_dir):
-    """Per chunk its group, its class of equal texts and the number of verified links of the class."""
+    """Per chunk its group of near-duplicates and its class of equal texts, each named by its least id."""
     return near_duplicates(table(spark, sf_dir, "chunk_records")).withColumnRenamed("id", "chunk_id")
 
 
