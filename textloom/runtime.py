@@ -95,31 +95,23 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", **c
     return builder.getOrCreate()
 
 
-def hot_keys(big: DataFrame, key: str | list[str], hot_rows: int) -> DataFrame | None:
-    """The keys that more than ``hot_rows`` rows of ``big`` have, or None where there are none.
-
-    There are fewer than rows / hot_rows of them. One pass over the keys, combined before the shuffle.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    found = big.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).drop("__n").toArrow()
-    return big.sparkSession.createDataFrame(found) if found.num_rows else None
-
-
-def split_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+def split_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", hot_rows: int = 1_000_000, weight: str | None = None) -> DataFrame:
     """``big`` joined with ``small`` (one row a key) on ``key``, whatever the keys' skew; inner or left.
 
-    Keys that hold more than ``hot_rows`` rows of ``big`` (by default a thousandth of all, at least
-    50,000) are joined by a broadcast of their rows of ``small``: at most a thousand. So no task gets a
-    hot key's rows together. The other keys are joined as Spark chooses. ``big`` should be a written
-    table, as it is read more than once.
+    Keys that more than ``hot_rows`` rows of ``big`` have are joined by a broadcast of their rows of
+    ``small``, so no task gets a hot key's rows together; there are fewer than rows / hot_rows of
+    them. The other keys are joined as Spark chooses. How many rows a key has is counted in one pass
+    that combines before the shuffle, or read from the column ``weight`` of ``small``. Tables that are
+    costly to compute should be written first, as they are read more than once.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if hot_rows is None:
-        hot_rows = max(50_000, big.count() // 1000)
-    hot = hot_keys(big, keys, hot_rows)
-    if hot is None:
+    if weight is None:
+        found = big.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).drop("__n").toArrow()
+    else:
+        found = small.where(F.col(weight) > hot_rows).select(*keys).toArrow()
+        small = small.drop(weight)
+    if not found.num_rows:
         return big.join(small, keys, how)
-    hot = durable(hot, "hot-keys")
-    cold = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys, how)
-    few = small.join(F.broadcast(hot), keys, "left_semi")
-    return cold.unionByName(big.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(few), keys, how))
+    hot = F.broadcast(big.sparkSession.createDataFrame(found))
+    few = F.broadcast(small.join(hot, keys, "left_semi"))
+    return big.join(hot, keys, "left_anti").join(small, keys, how).unionByName(big.join(hot, keys, "left_semi").join(few, keys, how))
