@@ -13,14 +13,17 @@ from textloom.operators.components import connected_components
 from textloom.runtime import durable, release, split_join
 
 
-def _keys(sig: np.ndarray) -> np.ndarray:
-    """One posting key per (coordinate, value) pair."""
-    place = np.arange(len(sig), dtype=np.uint64) + np.uint64(1)
-    return (mix((sig.view(np.uint32).astype(np.uint64) << np.uint64(16)) ^ (place * MULT)) >> np.uint64(8)).view(np.int64)
+def _keys(sig: np.ndarray, values: int) -> np.ndarray:
+    """One posting key per (coordinate, value) pair; a coordinate's value is made of ``values`` MinHash values."""
+    parts = sig.view(np.uint32).reshape(-1, values).astype(np.uint64)
+    acc = np.arange(len(parts), dtype=np.uint64)
+    for k in range(values):
+        acc = mix(acc + MULT) ^ parts[:, k]
+    return (mix(acc) >> np.uint64(8)).view(np.int64)
 
 
-def _signatures(coordinates: int, words: int):
-    salts = permutations(coordinates)
+def _signatures(coordinates: int, values: int, words: int):
+    salts = permutations(coordinates * values)
 
     def run(batches):
         known, seen = WordHashes(), set()
@@ -35,7 +38,7 @@ def _signatures(coordinates: int, words: int):
                 fps.append(fp)
                 if fp not in seen:  # copies within a task need no postings of their own
                     seen.add(fp)
-                    coords.append(_keys(signature(s, salts)))
+                    coords.append(_keys(signature(s, salts), values))
                 ends.append(coordinates * len(coords))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(np.array(ends, np.int32), np.concatenate(coords) if coords else np.empty(0, np.int64))],
@@ -45,15 +48,15 @@ def _signatures(coordinates: int, words: int):
     return run
 
 
-def _sets(coordinates: int, words: int):
+def _sets(coordinates: int, values: int, words: int):
     """(fp, sig, set): signature and whole set of shingle hashes of every class that is compared."""
-    salts = permutations(coordinates)
+    salts = permutations(coordinates * values)
 
     def run(batches):
         known = WordHashes()
         for batch in batches:
             sets = [shingle_hashes(t, words, known) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s, salts).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "sig", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_keys(signature(s, salts), values).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "sig", "set"])
 
     return run
 
@@ -63,7 +66,7 @@ def _verify(threshold: float, matches: int):
 
     def run(batches):
         for batch in batches:
-            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1), np.int32) for c in ("us", "vs"))
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1), np.int64) for c in ("us", "vs"))
             keep = (u == v).sum(axis=1) >= matches
             at = np.flatnonzero(keep)
             part = batch.take(pa.array(at))
@@ -82,20 +85,21 @@ def _verify(threshold: float, matches: int):
 def _alive(posts: DataFrame, matches: int) -> DataFrame:
     """(fp, keys): per class its postings that others share too, rarest first; classes with fewer than ``matches`` of them can't be linked and are skipped."""
     shared = durable(posts.groupBy("key").agg(F.count("*").alias("df"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("key", "df"), "nd-shared")
-    return split_join(posts, shared, "key").groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= matches)  # at most one entry a coordinate
+    return split_join(posts, shared.withColumn("n", F.col("df")), "key", weight="n").groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= matches)  # at most one entry a coordinate
 
 
-def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, coordinates: int = 32, matches: int = 11, heavy: int = 500) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, coordinates: int = 32, values: int = 3, matches: int = 2, heavy: int = 500) -> DataFrame:
     """(id, group_id, class_id) for every text that has at least ``words`` words.
 
     Two texts are linked if the Jaccard similarity of their word n-gram sets is at least
     ``threshold``; a group is all that is linked directly or through others, named by its least id.
     Texts with equal sets form one class, named by its least id too.
 
-    Method: every class is posted under each (coordinate, value) pair of a MinHash signature. Pairs
-    that agree in at least ``matches`` of the ``coordinates`` are candidates (at a similarity of 0.6
-    all but 0.1 % of the pairs do), so what can't reach that count is skipped before any pair is
-    made: postings of one class, then classes with fewer than ``matches`` shared postings, twice over.
+    Method: every class is posted under each (coordinate, value) pair of a signature. A coordinate
+    takes ``values`` MinHash values together, because the postings of single values of common phrases
+    grow with the corpus. Pairs that agree in at least ``matches`` of the ``coordinates`` are
+    candidates (99.6 % of the pairs of a similarity of 0.6, 99.96 % of those of 0.65), so what can't
+    reach that count is skipped before any pair is made: postings of one class, then classes with fewer than ``matches`` shared postings, twice over.
     What is left is posted under its prefix only, with the rarest postings first: two classes that
     share ``matches`` postings share one of all but the last ``matches - 1`` of either. Candidates'
     agreeing coordinates are counted on the signatures, and pairs above the match threshold are
@@ -115,7 +119,7 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
         raise ValueError("matches must be from 2 to the number of coordinates")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
-    marked = durable(rows.mapInArrow(_signatures(coordinates, words), f"id {kind}, fp bigint, coords array<bigint>"), "nd-signatures")
+    marked = durable(rows.mapInArrow(_signatures(coordinates, values, words), f"id {kind}, fp bigint, coords array<bigint>"), "nd-signatures")
     members = durable(marked.groupBy("id").agg(F.min("fp").alias("fp")), "nd-members")
     once = durable(_alive(marked.select("fp", F.explode("coords").alias("key")), matches), "nd-alive")
     release(marked)
@@ -124,10 +128,10 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     prefix = F.slice("keys.key", F.lit(1), F.size("keys") - (matches - 1))
     posts = durable(alive.select("fp", F.explode(prefix).alias("key")), "nd-postings")
 
-    hubs = posts.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub != last").select("key", "hub")
-    linked = durable(split_join(posts, hubs, "key"), "nd-linked")
+    hubs = posts.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last"), F.count("*").alias("n")).where("hub != last").select("key", "hub", "n")
+    linked = durable(split_join(posts, durable(hubs, "nd-hubs"), "key", weight="n"), "nd-linked")
     needed = linked.select("fp").distinct().join(members, "fp").groupBy("fp").agg(F.min("id").alias("id"))
-    sets = durable(rows.join(needed, "id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_sets(coordinates, words), "fp bigint, sig binary, set binary"), "nd-sets")
+    sets = durable(rows.join(needed, "id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_sets(coordinates, values, words), "fp bigint, sig binary, set binary"), "nd-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs, "nd-pairs")
@@ -164,9 +168,9 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
         label = durable(connected_components(star.unionByName(across)), "nd-components")
     classes = durable(members.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("id", "fp", F.coalesce("component", "fp").alias("c")), "nd-classes")
     release(members, alive, posts, linked, sets, nearest, placed, mixed, light)
-    names = classes.groupBy("c").agg(F.min("id").alias("group_id"))
-    same = classes.groupBy("fp").agg(F.min("id").alias("class_id"))
-    return split_join(split_join(classes, names, "c"), same, "fp").select("id", "group_id", "class_id")
+    names = classes.groupBy("c").agg(F.min("id").alias("group_id"), F.count("*").alias("n"))
+    same = classes.groupBy("fp").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    return split_join(split_join(classes, names, "c", weight="n"), same, "fp", weight="n").select("id", "group_id", "class_id")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
