@@ -1,5 +1,6 @@
 import random
 
+from textloom.llm import boilerplate
 from textloom.llm.boilerplate import LINKS, density, lines_of, main_content, page_lines
 from textloom.llm.residue import PLACEHOLDER, found, judge_many, judged, real_content, segments
 
@@ -49,6 +50,33 @@ def test_density_prefers_text_without_links():
     assert lines_of("", None) == [] and [k for _, k, _, _ in lines_of("a | b | c", None)] == [LINKS]
 
 
+def test_density_decides(monkeypatch):
+    text, marks = page("About the barn", [prose(), "Opening hours", prose(2), prose(3)])
+    marks = [m for m, line in zip(marks, text.split("\n")) if line.strip()]
+    assert [not out for _, _, out, _ in lines_of(text, "About the barn")] == marks
+    monkeypatch.setattr(boilerplate, "density", lambda *_: 200.0)
+    assert not any(out for _, _, out, _ in lines_of(text, "About the barn"))
+    monkeypatch.setattr(boilerplate, "density", lambda *_: 1.0)
+    assert all(out for _, _, out, _ in lines_of(text, "About the barn"))
+
+
+def test_long_side_column_text_on_every_page_of_a_site(spark):
+    blurb = "Northfield Gazette was founded by three millers who wanted to read about the harvest before the market opened, and it has been printed in the same yard behind the library ever since, on every day but the first of the year."
+    assert len(blurb) > 200
+    chunks, sources = [], []
+    for i in range(30):
+        text, _ = page(f"Page {i}", [prose(), prose(2)])
+        chunks.append((f"c{i}", f"s{i}", text.replace("Related pages", blurb + "\nRelated pages"), {}))
+        sources.append((f"s{i}", "url", f"https://site.example/p{i}", f"Page {i}"))
+    c = spark.createDataFrame(chunks, "chunk_id string, source_id string, text string, metadata map<string,string>")
+    s = spark.createDataFrame(sources, "source_id string, type string, uri string, source_name string")
+    got = {(r["chunk_id"], r["line_no"]): r["boilerplate"] for r in page_lines(c, s).collect()}
+    at = chunks[0][2].split("\n").index(blurb)
+    assert sum(got[f"c{i}", at] for i in range(30)) >= 28
+    hot = {(r["chunk_id"], r["line_no"]): r["boilerplate"] for r in page_lines(c, s, hot_share=10**9).collect()}
+    assert hot == got
+
+
 def test_long_lines_are_tested_for_notices():
     filler = "the ledger of the barn is kept by the council and every parcel in it is measured again when the harvest of the year has been brought in and the engine of the market rests"
     for notice in [

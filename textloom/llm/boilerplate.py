@@ -10,7 +10,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.runtime import durable
+from textloom.runtime import durable, split_join
 
 # Wordings by which pages mark what isn't content. Whole lines are matched, so a
 # sentence of an article that merely uses such words is none.
@@ -77,8 +77,10 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def density(chars: int, tags: int, link_chars: int, link_tags: int, body_link_share: float) -> float:
+def density(chars: int, tags: int, link_chars: float, link_tags: int, body_link_share: float) -> float:
     """Composite text density of a node: characters per tag, adjusted by the links among them."""
+    if not chars:
+        return 0.0
     plain = max(chars - link_chars, 1)
     base = math.log(chars / plain * link_chars + body_link_share * chars + math.e)
     return chars / tags * math.log(max(chars * tags / (max(link_chars, 1) * max(link_tags, 1)), 1)) / max(math.log(base), 0.25)
@@ -115,17 +117,13 @@ def _leaf(line: str, own: str | None, seen: dict) -> tuple[int, int, int]:
     return kind, link, tag
 
 
-def lines_of(text: str, title: str | None, seen: dict | None = None) -> list[tuple[int, int, bool, str]]:
-    """(line_no, kind, out, line) of the visible lines of one page's text.
+def evidence_of(text: str, title: str | None, seen: dict | None = None) -> list[tuple[int, int, int, int, int, str]]:
+    """(line_no, kind, chars, tags, link_chars, line) of the visible lines of one page's text.
 
-    Every line is a leaf; lines of one block are siblings, the blocks' parent is the body. Tags are
-    the line itself, its marker and its separators; link characters are those of labels, notices,
-    trails and runs of short items. Densities of leaves add up to those of the nodes above, and of
-    all stretches of siblings the one with the greatest sum over the body's threshold is the main
-    content. ``out`` says whether the line lies outside of it or is made of links.
+    Every line is a leaf of the page's tree. Its tags are the line itself, its marker and its
+    separators; its link characters those of labels, notices, trails and runs of short items.
     """
-    raw = text.split("\n")
-    rows = [(k, line) for k, line in enumerate(raw) if line.strip()]
+    rows = [(k, line) for k, line in enumerate(text.split("\n")) if line.strip()]
     own = _plain(title) if title else None
     seen = {} if seen is None else seen
     kinds, links, tags = [], [], []
@@ -134,60 +132,120 @@ def lines_of(text: str, title: str | None, seen: dict | None = None) -> list[tup
         kinds.append(kind)
         links.append(link)
         tags.append(tag)
-    # runs of short items: a list of links (blank lines don't part it)
+    chars = [len(line.strip()) for _, line in rows]
     n, i = len(rows), 0
-    while i < n:
+    while i < n:  # runs of short items: a list of links (blank lines don't part it)
         j = i
         while j < n and kinds[j] == SHORT:
             j += 1
-        if j - i >= 4 or (j - i >= 2 and sum(links[k] > 0 for k in range(i, j)) * 2 >= j - i):
-            for k in range(i, j):
-                links[k] = len(rows[k][1].strip())
-        headed = next((k for k in range(i, j) if links[k]), j)
+        many = j - i >= 4 or (j - i >= 2 and sum(links[k] > 0 for k in range(i, j)) * 2 >= j - i)
+        headed = i if many else next((k for k in range(i, j) if links[k]), j)
         for k in range(headed, j):  # what follows a label such as "Most read" is its list
-            links[k] = len(rows[k][1].strip())
+            links[k] = chars[k]
         i = max(j, i + 1)
-    total = sum(len(line.strip()) for _, line in rows) or 1
-    share = sum(links) / total
-    weights = []
-    for (_, line), kind, link, t in zip(rows, kinds, links, tags):
-        c = len(line.strip())
-        d = density(c, t, link, t if link else 0, share) / 100
-        weights.append(3.0 if kind == TITLE else -2.0 if kind == LINKS else -1.2 if link else min(d, 6.0) if kind == PROSE else min(d - 0.7, -0.2))
-    best, start, here, at = 0.0, 0, 0.0, 0
-    first, last = n, -1
-    for k, w in enumerate(weights):
-        if here <= 0:
-            here, at = 0.0, k
-        here += w
-        if here > best:
-            best, first, last = here, at, k
-    out = []
-    for k, (no, line) in enumerate(rows):
-        outside = not first <= k <= last
-        out.append((no, kinds[k], kinds[k] == LINKS or (kinds[k] != TITLE and (outside or links[k] > 0)), line))
+    return [(no, kind, c, t, x, line) for (no, line), kind, c, t, x in zip(rows, kinds, chars, tags, links)]
+
+
+#: A node below this density is no content, whatever the page's other nodes are.
+LEAST_DENSITY = 100.0
+
+
+def tree_of(kinds: list[int], chars: list[int], links: list[float]) -> list[tuple[int, int]]:
+    """The nodes between the body and its lines, as ranges of lines.
+
+    Lines made of links and other lines part from each other. Of the latter a node takes what stands
+    from its first to its last line of prose, with up to two short lines before as headings (none
+    before the page's own title); other short lines are nodes of their own.
+    """
+    out: list[tuple[int, int]] = []
+    i, n = 0, len(kinds)
+    while i < n:
+        link = 2 * links[i] >= chars[i]
+        j = i
+        while j < n and (2 * links[j] >= chars[j]) == link:
+            j += 1
+        prose = [] if link else [k for k in range(i, j) if kinds[k] != SHORT]
+        if prose:
+            first, last = prose[0] if kinds[prose[0]] == TITLE else max(i, prose[0] - 2), prose[-1] + 1
+            out += [(a, b) for a, b in ((i, first), (first, last), (last, j)) if a < b]
+        else:
+            out.append((i, j))
+        i = j
     return out
 
 
+def outside_of(kinds: list[int], chars: list[int], tags: list[int], links: list[float]) -> list[bool]:
+    """Per line, whether it lies outside of the page's content, by composite text density.
+
+    Densities of leaves add up to the density sum of their node; the threshold is the least density on
+    the path from the node with the greatest sum to the body, at least LEAST_DENSITY, and the nodes
+    that reach it are the content, with all their lines.
+    """
+    if not kinds:
+        return []
+    link_tags = [0 if not x else t if 2 * x >= c else 1 for c, t, x in zip(chars, tags, links)]
+    share = sum(links) / sum(chars)
+    nodes = []
+    for a, b in tree_of(kinds, chars, links):
+        own = density(sum(chars[a:b]), sum(tags[a:b]), sum(links[a:b]), sum(link_tags[a:b]), share)
+        nodes.append((sum(density(chars[k], tags[k], links[k], link_tags[k], share) for k in range(a, b)), own, a, b))
+    body = density(sum(chars), sum(tags), sum(links), sum(link_tags), share)
+    threshold = max(min(max(nodes)[1], body), LEAST_DENSITY)
+    out = [True] * len(kinds)
+    for _, own, a, b in nodes:
+        if own >= threshold:
+            out[a:b] = [False] * (b - a)
+    return out
+
+
+def lines_of(text: str, title: str | None, seen: dict | None = None) -> list[tuple[int, int, bool, str]]:
+    """(line_no, kind, outside, line) of the visible lines of one page's text, judged by itself."""
+    rows = evidence_of(text, title, seen)
+    no, kinds, chars, tags, links, lines = (list(c) for c in zip(*rows)) if rows else ([],) * 6
+    return list(zip(no, kinds, outside_of(kinds, chars, tags, links), lines))
+
+
+def with_votes(kind: int, chars: int, links: float, vote: float | None) -> tuple[int, float]:
+    """(kind, link_chars) once ``vote``, the share of a line's repeats that lie outside of the content, is known."""
+    if kind == TITLE:
+        return kind, 0
+    if kind == LINKS or vote is None:
+        return kind, links
+    if vote > 0.5:
+        return kind, vote * chars
+    return PROSE, 0.2 * vote * chars  # a short line that mostly stands inside is a heading
+
+
 def _features(batches):
-    """Per visible line: its place, kind, local verdict and the hash of what repeats of it share."""
+    """Per page the evidence of its visible lines, their first verdicts, and the hashes of what repeats of them share."""
     seen: dict = {}
     for batch in batches:
-        take, no, kind, out, key = [], [], [], [], []
-        for k, (text, title) in enumerate(zip(batch.column("text").to_pylist(), batch.column("title").to_pylist())):
-            for n, kd, o, line in lines_of(text, title, seen):
-                take.append(k)
-                no.append(n)
-                kind.append(kd)
-                out.append(o)
-                key.append(_hash(key_of(line)))
-        t = pa.array(take, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(t), batch.column("site").take(t), pa.array(no, pa.int64()), pa.array(kind, pa.int32()), pa.array(out, pa.bool_()), pa.array(key, pa.int64())], names=["id", "site", "line_no", "kind", "out", "key"]
-        )
-
-
-def page_lines(chunks: DataFrame, sources: DataFrame, prior: float = 3.0, types: tuple[str, ...] = ("url", "sitemap")) -> DataFrame:
+        out: dict[str, list] = {c: [] for c in ("line_no", "kind", "chars", "tags", "links", "outside", "key")}
+        for text, title in zip(batch.column("text").to_pylist(), batch.column("title").to_pylist()):
+            rows = evidence_of(text, title, seen)
+            no, kinds, chars, tags, links, lines = (list(c) for c in zip(*rows)) if rows else ([],) * 6
+            for c, values in zip(out, (no, kinds, chars, tags, links, outside_of(kinds, chars, tags, links), [_hash(key_of(x)) for x in lines])):
+                out[c].append(values)
+        kinds_of = {"outside": pa.bool_(), "key": pa.int64()}
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("site"), *(pa.array(v, pa.list_(kinds_of.get(c, pa.int32()))) for c, v in out.items())], names=["id", "site", *out])
+
+
+def _verdicts(batches):
+    """The final verdict on every line of a page, with the votes (place in the page, share outside) on those that repeat."""
+    for batch in batches:
+        take, numbers, out = [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("line_no", "kind", "chars", "tags", "links", "votes"))
+        for k, (no, kinds, chars, tags, links, votes) in enumerate(zip(*columns)):
+            votes = {v["at"]: v["vote"] for v in votes or ()}
+            changed = [with_votes(kind, c, x, votes.get(i)) for i, (kind, c, x) in enumerate(zip(kinds, chars, links))]
+            verdict = outside_of([c[0] for c in changed], chars, tags, [c[1] for c in changed])
+            take += [k] * len(no)
+            numbers += no
+            out += [o and kind != TITLE for o, kind in zip(verdict, kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take, pa.int64())), pa.array(numbers, pa.int64()), pa.array(out, pa.bool_())], names=["chunk_id", "line_no", "boilerplate"])
+
+
+def page_lines(chunks: DataFrame, sources: DataFrame, prior: float = 3.0, types: tuple[str, ...] = ("url", "sitemap"), hot_share: int = 1000) -> DataFrame:
     """(chunk_id, line_no, boilerplate) for every visible line of every chunk of a web page.
 
     ``sources`` says by ``type`` what a web page is, by ``uri`` which site it is of and by
@@ -196,10 +254,15 @@ def page_lines(chunks: DataFrame, sources: DataFrame, prior: float = 3.0, types:
     with null id or text, or whose source isn't a web page, give none either; a repeated chunk_id
     counts once; other columns are ignored; empty tables give an empty result.
 
-    Each chunk is judged by composite text density (see lines_of). Then the verdicts on the same line,
-    names and numbers aside, are counted over its site and over all sites; where the density alone is
-    no strong evidence, a line follows what holds for its repeats, the own verdict counting as
-    ``prior`` of them.
+    Each chunk is judged by composite text density (see outside_of). Then the verdicts on the same
+    line, names and numbers aside, are counted over its site and over all sites, the own verdict
+    counting as ``prior`` of them; the share of a line's repeats that lie outside corrects its link
+    characters, prose that stands on at least 20 pages and three quarters of its site counts as the
+    site's template, and the density of the tree with these decides.
+
+    Sources and lines that hold more than 1 / ``hot_share`` of the rows are joined by broadcast, at
+    most ``hot_share`` of them, so neither a site nor a menu line makes a hot task; texts are read
+    once and only numbers of their lines are shuffled after that.
     """
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     web = (
@@ -208,18 +271,25 @@ def page_lines(chunks: DataFrame, sources: DataFrame, prior: float = 3.0, types:
         .agg(F.max("uri").alias("uri"), F.max("source_name").alias("name"))
         .select("source_id", F.xxhash64(F.regexp_replace(F.lower(F.regexp_extract("uri", r"(?i)^[a-z]+://([^/?#:]+)", 1)), r"^www\.", "")).alias("site"), "name")
     )
-    texts = chunks.where(F.col("chunk_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("chunk_id", "source_id", "text", F.col("metadata")["source_name"].alias("own"))
-    pages = texts.join(web, "source_id").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), "site", "text", F.coalesce("name", "own").alias("title"))
-    lines = durable(pages.mapInArrow(_features, f"id {kind}, site bigint, line_no bigint, kind int, out boolean, key bigint"), "page-lines")
-    counted = [F.count("*").alias("n"), F.sum(F.col("out").cast("int")).alias("n_out")]
-    by_site = lines.groupBy("site", "key").agg(*counted)
-    by_key = by_site.groupBy("key").agg(F.sum("n").alias("all"), F.sum("n_out").alias("all_out")).where("all > 2")
-    known = by_site.join(by_key, "key").select("site", "key", "n", "n_out", "all", "all_out")
-    own = F.col("out").cast("double")
-    everywhere = (F.col("all_out") + prior * own) / (F.col("all") + prior)
-    repeats = (F.col("n_out") + 4 * everywhere) / (F.col("n") + 4)
-    verdict = F.when(F.col("kind") == TITLE, False).when(F.col("kind") == LINKS, True).when(F.col("all").isNull(), F.when(F.col("kind") == PROSE, False).otherwise(F.col("out")))
-    return lines.join(known, ["site", "key"], "left").select(F.col("id").alias("chunk_id"), "line_no", verdict.otherwise(repeats > 0.5).alias("boilerplate"))
+    texts = chunks.where(F.col("chunk_id").isNotNull() & F.col("source_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("chunk_id", "source_id", "text", F.col("metadata")["source_name"].alias("own"))
+    joined = split_join(texts, web, "source_id", hot_rows=max(2_000, chunks.count() // hot_share))
+    pages = joined.select(F.col("chunk_id").alias("id"), "site", "text", F.coalesce("name", "own").alias("title"))
+    shape = "line_no array<int>, kind array<int>, chars array<int>, tags array<int>, links array<int>, outside array<boolean>, key array<bigint>"
+    read = pages.mapInArrow(_features, f"id {kind}, site bigint, {shape}")
+    one = read.groupBy("id").agg(F.max(F.struct(*[c for c in read.columns if c != "id"])).alias("r")).select("id", "r.*", F.monotonically_increasing_id().alias("page"))
+    one = durable(one, "page-lines")  # once written, the pages' numbers stay
+    lines = one.select("page", "site", F.posexplode(F.arrays_zip("key", "outside", "kind")).alias("at", "x")).select("page", "site", "at", F.col("x.key").alias("key"), F.col("x.outside").cast("int").alias("o"), F.col("x.kind").alias("kind"))
+    by_site = durable(lines.groupBy("site", "key").agg(F.count("*").alias("n"), F.sum("o").alias("n_out")), "page-counts")
+    by_key = by_site.groupBy("key").agg(F.sum("n").alias("all"), F.sum("n_out").alias("all_out"), F.count("*").alias("sites")).where("all > 2")
+    known = durable(split_join(by_site, durable(by_key, "page-keys"), "key", weight="sites"), "page-known")
+    known = durable(split_join(known, web.groupBy("site").agg(F.count("*").alias("n_sources")), "site"), "page-known")
+    total = by_site.agg(F.sum("n")).first()[0] or 0
+    repeated = split_join(lines, known.withColumn("rows", F.col("n")), ["site", "key"], hot_rows=max(20_000, total // hot_share), weight="rows")
+    everywhere = (F.col("all_out") + prior * F.col("o")) / (F.col("all") + prior)
+    template = (F.col("kind") == PROSE) & (F.col("n") >= F.greatest(F.lit(20), 0.75 * F.col("n_sources")))
+    vote = F.when(template, 1.0).otherwise((F.col("n_out") + 4 * everywhere) / (F.col("n") + 4)).cast("float")
+    votes = repeated.groupBy("page").agg(F.collect_list(F.struct("at", vote.alias("vote"))).alias("votes"))  # lines of one page
+    return one.join(votes, "page", "left").select("id", "line_no", "kind", "chars", "tags", "links", "votes").mapInArrow(_verdicts, f"chunk_id {kind}, line_no bigint, boilerplate boolean")
 
 
 def main_content(chunks: DataFrame, sources: DataFrame) -> DataFrame:
