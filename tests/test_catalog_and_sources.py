@@ -40,6 +40,88 @@ def test_project_life(spark, tmp_path):
         catalog.Project(spark, str(tmp_path), "../x")
 
 
+def test_forced_builds_lose_nothing_and_renew_vectors(spark, tmp_path):
+    p = catalog.Project(spark, str(tmp_path), "forced")
+    p.add_sources([{"type": "url", "uri": f"https://a/{i}"} for i in range(3)])
+    texts = {f"https://a/{i}": f"{i} " + " ".join(f"word{i}x{k}" for k in range(800)) for i in range(3)}
+
+    def fetch(due):
+        m = F.create_map(*[F.lit(x) for kv in texts.items() for x in kv])
+        return due.select("source_id", F.lit(0).alias("part"), F.element_at(m, F.col("uri")).alias("text"), F.lit(None).cast("string").alias("error"))
+
+    def embed(chunks):
+        return chunks.select("chunk_id", F.array(F.crc32(F.col("text")).cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.lit("m").alias("model"))
+
+    def state():
+        rows = p.read("chunks").join(p.read("vectors"), "chunk_id", "full_outer").select("chunk_id", "text", "embedding", F.crc32("text").cast("float").alias("crc")).collect()
+        assert all(r["text"] is not None and r["embedding"][0] == r["crc"] for r in rows)
+        return {(r["chunk_id"], r["text"]) for r in rows}
+
+    p.build(fetch, embed)
+    first = state()
+    assert len(first) > 6
+    p.build(fetch, embed, BuildConfig(force=True))
+    assert state() == first
+    texts["https://a/1"] = "changed " + texts["https://a/1"]
+    p.build(fetch, embed, BuildConfig(force=True))
+    second = state()
+    assert len(second - first) > 0 and {c for c, _ in second} >= {c for c, _ in first}
+    texts["https://a/2"] = None  # can't be fetched any more: what there was stays
+    assert {r["uri"]: r["status"] for r in p.build(fetch, embed, BuildConfig(force=True)).collect()}["https://a/2"] == "failed"
+    assert state() == second
+    p.compact()
+    assert state() == second and p.stats().first()["builds"] == 1
+
+    def broken(due):
+        raise OSError("no network")
+
+    with pytest.raises(OSError):
+        p.build(broken, embed, BuildConfig(force=True))
+    assert state() == second and p.build_status() == "idle"
+
+
+def test_builds_go_on_from_their_checkpoint(spark, tmp_path):
+    p = catalog.Project(spark, str(tmp_path), "resumed")
+    p.add_sources([{"type": "url", "uri": f"https://a/{i}"} for i in range(5)])
+    fetch = lambda due: due.select("source_id", F.lit(0).alias("part"), F.concat(F.lit("text of "), "uri").alias("text"), F.lit(None).cast("string").alias("error"))
+    p.build(fetch)
+    seen = []
+    for left in ("checkpoint_available", "checkpoint_available", "idle"):
+        seen += [r["uri"] for r in p.build(fetch, cfg=BuildConfig(force=True, max_sources=2)).collect()]
+        assert p.build_status() == left
+    assert sorted(seen) == [f"https://a/{i}" for i in range(5)] and p.read("chunks").count() == 5
+    assert not p.clear_checkpoint() and p.load_checkpoint().count() == 0
+
+
+def test_run_log(spark, tmp_path):
+    from datetime import datetime
+
+    log = catalog.RunLog(spark, str(tmp_path / "log"))
+    assert log.read().count() == 0 and log.get("a") is None
+    t = [datetime(2024, 1, 1, 12, m) for m in range(10)]
+    log.create({"x": {"y": 1}}, "a", t[0])
+    with pytest.raises(ValueError):
+        log.create({}, "a")
+    assert log.ensure("a", {}) == "a" and log.get("a")["config_hash"] == catalog.config_hash({"x": {"y": 1}})
+    log.phase("a", "chunk", now=t[1])
+    log.phase("a", "chunk", "completed", 10, 30, 1, now=t[3])
+    log.phase("a", "embed", "failed", 30, 0, 30, now=t[4])
+    log.complete("a", "failed", t[5])
+    log.complete("a", "completed", t[6])
+    assert log.get("a")["status"] == "failed"
+    assert {(r["phase"], r["status"], r["seconds"], r["outputs"]) for r in catalog.run_status(log.read()).collect()} == {("chunk", "completed", 120, 30), ("embed", "failed", 0, 0)}
+    r = catalog.run_totals(log.read()).first()
+    assert (r["phases"], r["seconds"], r["inputs"], r["outputs"], r["errors"]) == (2, 120, 40, 30, 31)
+    with pytest.raises(KeyError):
+        log.complete("b")
+    with pytest.raises(ValueError):
+        log.phase("a", "x", "odd")
+    (tmp_path / "log" / "data" / "a").mkdir(parents=True)
+    assert log.cleanup(30, datetime(2024, 6, 1)) == ["a"] and (tmp_path / "log" / "data" / "a").exists()
+    log.cleanup(30, datetime(2024, 6, 1), dry_run=False)
+    assert not (tmp_path / "log" / "data" / "a").exists() and log.get("a")
+
+
 def test_lineage(spark):
     a, b = spark.createDataFrame([("x",), ("y",), (None,)], "k string"), spark.createDataFrame([("y",), ("z",)], "k string")
     assert {r["change"]: r["n"] for r in catalog.run_diff(a, b, "k").collect()} == {"added": 1, "removed": 1, "unchanged": 1}

@@ -173,3 +173,62 @@ def ingest_stream(spark, sf_dir):
     docs = ingest.file_stream(spark, sf_dir, "documents.parquet", table(spark, sf_dir, "documents").schema)
     ingest.ingest_new(docs.select("doc_id", "text"), f"{base}/out", f"{base}/state")
     return durable(spark.read.parquet(f"{base}/out").select("doc_id", "content_hash"), "ingested")
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+
+
+BUILT = """WITH w AS (SELECT source AS source_id, doc_id, s AS start_char, substring(text, s + 1, 1500) AS t FROM (
+  SELECT source, doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 1500) / 1350.0) AS BIGINT), 0) * 1350 + 1, 1350)) AS s FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0)),
+f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY left(sha256(t), 16) ORDER BY source_id, doc_id, start_char) = 1)"""
+
+
+@query("build_forced", BUILT + " SELECT source_id, count(*) AS chunks, CAST(sum(length(t)) AS BIGINT) AS chars, count(*) AS vectors FROM f GROUP BY source_id")
+def build_forced(spark, sf_dir):
+    """A project of all documents' sources, built once and then built again by force: chunks, characters and vectors of each source."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    p = catalog.Project(spark, _folder(spark, "project"), "forced")
+    names = docs.select(F.col("source").alias("source_id")).distinct()
+    p.commit(sources=spark.createDataFrame([], catalog.SOURCE).unionByName(names.select("source_id", F.lit("text").alias("type"), F.col("source_id").alias("uri"), F.lit("pending").alias("status")), allowMissingColumns=True))
+    fetch = lambda due: due.select("source_id").join(docs.select(F.col("source").alias("source_id"), F.col("doc_id").alias("part"), "text"), "source_id").withColumn("error", F.lit(None).cast("string"))
+    embed = lambda chunks: chunks.select("chunk_id", F.array(F.length("text").cast("float")).alias("embedding"), F.lit("length").alias("model"))
+    for force in (False, True):
+        p.build(fetch, embed, catalog.BuildConfig(force=force, max_sources=None))
+    return p.read("chunks").join(p.read("vectors").select("chunk_id"), "chunk_id").groupBy("source_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text").cast("bigint")).alias("chars"), F.count("*").alias("vectors"))
+
+
+@query("run_lifecycle", "SELECT 'read' AS phase, 'completed' AS status, 60 AS seconds, count(*) AS inputs, count(text) AS outputs, count(*) - count(text) AS errors FROM documents UNION ALL SELECT 'dedupe', 'completed', 120, count(text), count(DISTINCT text), 0 FROM documents")
+def run_lifecycle(spark, sf_dir):
+    """A run over the documents in two phases, written to a run log and read back."""
+    from datetime import datetime, timedelta
+
+    d = table(spark, sf_dir, "documents")
+    n = d.agg(F.count("*").alias("rows"), F.count("text").alias("texts"), F.countDistinct("text").alias("distinct")).first()
+    log, t = catalog.RunLog(spark, _folder(spark, "runs")), datetime(2024, 5, 1)
+    run = log.create({"tables": ["documents"], "phases": {"read": 1, "dedupe": 2}}, now=t)
+    log.phase(run, "read", inputs=n["rows"], now=t)
+    log.phase(run, "read", "completed", n["rows"], n["texts"], n["rows"] - n["texts"], t + timedelta(seconds=60))
+    log.phase(run, "dedupe", inputs=n["texts"], now=t + timedelta(seconds=60))
+    log.phase(run, "dedupe", "completed", n["texts"], n["distinct"], 0, t + timedelta(seconds=180))
+    log.complete(run, now=t + timedelta(seconds=180))
+    return catalog.run_status(log.read()).select("phase", "status", "seconds", "inputs", "outputs", "errors")
+
+
+@query("sources_remaining", "SELECT count(*) FILTER (status IN ('pending', 'processing')) AS left, round(avg(CASE WHEN status IN ('completed', 'failed') AND processed_at IS NOT NULL THEN floor(epoch(processed_at)) - floor(epoch(added_at)) END), 3) AS mean_seconds, round(count(*) FILTER (status IN ('pending', 'processing')) * coalesce(round(avg(CASE WHEN status IN ('completed', 'failed') AND processed_at IS NOT NULL THEN floor(epoch(processed_at)) - floor(epoch(added_at)) END), 3), 0), 3) AS eta_seconds FROM source_records")
+def sources_remaining(spark, sf_dir):
+    """Sources left, mean time of the built ones, time to go."""
+    return catalog.remaining(table(spark, sf_dir, "source_records"))
+
+
+@query("run_report", """WITH a AS (SELECT * FROM chunk_records WHERE created_at < TIMESTAMPTZ '2024-03-01 00:00:00+00'), b AS (SELECT * FROM chunk_records WHERE created_at >= TIMESTAMPTZ '2024-02-01 00:00:00+00'), u AS (SELECT source_id, max(uri) AS uri FROM source_records GROUP BY source_id),
+k AS (SELECT 'chunks' AS what, a.k AS x, b.k AS y FROM (SELECT DISTINCT chunk_id AS k FROM a WHERE chunk_id IS NOT NULL) a FULL JOIN (SELECT DISTINCT chunk_id AS k FROM b WHERE chunk_id IS NOT NULL) b ON a.k = b.k
+UNION ALL SELECT 'sources', a.k, b.k FROM (SELECT DISTINCT uri AS k FROM a JOIN u USING (source_id) WHERE uri IS NOT NULL) a FULL JOIN (SELECT DISTINCT uri AS k FROM b JOIN u USING (source_id) WHERE uri IS NOT NULL) b ON a.k = b.k)
+SELECT what, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'unchanged' END AS change, count(*) AS n FROM k GROUP BY 1, 2 UNION ALL SELECT 'config', 'changed', 1""")
+def run_report(spark, sf_dir):
+    """Configuration, source URIs and chunks of two overlapping runs."""
+    c, u = table(spark, sf_dir, "chunk_records"), table(spark, sf_dir, "source_records").groupBy("source_id").agg(F.max("uri").alias("uri"))
+    a, b = c.where("created_at < timestamp '2024-03-01 00:00:00 UTC'"), c.where("created_at >= timestamp '2024-02-01 00:00:00 UTC'")
+    return catalog.run_report({"before": "2024-03-01"}, {"from": "2024-02-01"}, tuple(x.join(u, "source_id").select("uri") for x in (a, b)), (a, b))

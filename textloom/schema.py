@@ -94,12 +94,13 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class BuildConfig:
-    max_sources: int = 10
+    max_sources: int | None = 10  # None: all that are due
     force: bool = False
     dry_run: bool = False
     embed_batch: int = 50
     chunking: ChunkConfig = field(default_factory=lambda: ChunkConfig(strategy="fixed_chars"))
 
     def __post_init__(self) -> None:
-        _within("max_sources", self.max_sources, 1, 50)
+        if self.max_sources is not None:
+            _within("max_sources", self.max_sources, 1, 50)
         _within("embed_batch", self.embed_batch, 10, 100)
