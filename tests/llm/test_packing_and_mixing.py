@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from textloom.llm.mixing import flight, land, mix, mix_report
+from textloom.llm.mixing import flight, land, mix, mix_report, shares_of
 from textloom.llm.packing import fill_report, nnls, pack, patterns, plan
 from textloom.llm.tokens import VOCABULARY, encoding
 
@@ -86,6 +86,38 @@ def test_flight_is_fair():
     assert np.abs(mean - p).max() < 0.04
 
 
+def test_landing_is_fair_to_large_units():
+    rng = np.random.default_rng(6)
+    p, s = rng.uniform(0.2, 0.8, 30), np.r_[2500.0, 1800.0, rng.integers(20, 400, 28)]
+    got = np.array([land(p, s, k) for k in range(300)])
+    assert np.abs(got.mean(axis=0) - p).max() < 0.12 and abs(got.mean(axis=0) - p).mean() < 0.05
+    assert np.median(np.abs(got @ s - p @ s)) < 60
+
+
+def test_shares_are_solved_for():
+    targets = {"a": (0.5, 2.0), "b": (0.3, float("inf")), "c": (0.2, 3.0)}
+    supply = {"a": 1000, "b": 100, "c": 20}
+    plain, filled = shares_of(targets, supply, 1000, False), shares_of(targets, supply, 1000, True)
+    assert plain == {"a": 500, "b": 300, "c": 60}
+    assert filled["c"] == 60 and abs(sum(filled.values()) - 1000) < 1e-6 and abs(filled["a"] / filled["b"] - 5 / 3) < 1e-9
+    assert shares_of({"a": (1.0, 1.0)}, {"a": 10}, 1000, True) == {"a": 10} and shares_of({}, {}, 0, True) == {}
+
+
+def test_packing_plans_come_from_the_fit():
+    rng = np.random.default_rng(8)
+    h = Counter(int(x) for x in np.clip(rng.lognormal(np.log(300), 0.9, 20_000), 1, 2047))
+    cl = np.zeros(33)
+    for n, c in h.items():
+        cl[min(32, max(1, round(n / 64)))] += c
+    shapes = patterns(32, 8)
+    a = np.zeros((32, len(shapes)))
+    for k, shape in enumerate(shapes):
+        for u in shape:
+            a[u - 1, k] += 1
+    x = nnls(a, cl[1:])
+    assert (x > 0).sum() <= 32 and np.floor(x).sum() >= 0.9 * sum(t for _, t in plan(dict(h), 2048))
+
+
 @needs_vocabulary
 def test_mixing(spark):
     random.seed(4)

@@ -27,16 +27,40 @@ def patterns(units: int, most: int) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min |a x - b| over x >= 0, by multiplicative updates; a and b have no negative entries."""
-    x = np.full(a.shape[1], b.sum() / max(a.sum(), 1.0))
-    num = a.T @ b
-    gram = a.T @ a
-    for _ in range(rounds):
-        x *= num / np.maximum(gram @ x, 1e-12)
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """min |a x - b| over x >= 0 by active sets: a basic solution, with at most as many positive entries as ``a`` has rows."""
+    n = a.shape[1]
+    x, used = np.zeros(n), np.zeros(n, bool)
+    for _ in range(20 * a.shape[0] if rounds is None else rounds):
+        slope = a.T @ (b - a @ x)
+        slope[used] = -np.inf
+        k = int(slope.argmax())
+        if slope[k] <= 1e-9 * max(1.0, float(np.abs(b).max())):
+            break
+        used[k] = True
+        while True:
+            at = np.flatnonzero(used)
+            y = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            if (y > 1e-12).all():
+                x[:] = 0
+                x[at] = y
+                break
+            low = y <= 1e-12  # go towards y until the first entry reaches zero, and leave it there
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.nanmin(np.where(low & (x[at] > y), x[at] / (x[at] - y), np.inf))
+            if not np.isfinite(step):
+                step = 0.0
+            x[at] += step * (y - x[at])
+            gone = at[low & (x[at] <= 1e-9)]
+            used[gone if len(gone) else at[low][:1]] = False
+            x[~used] = 0
     return x
 
 
+#: A plan with more places than this isn't broadcast; a plan has about as many steps as there are lengths and patterns.
+MOST_PLACES = 500_000
+
+
 class _Stock:
     """How many items of every exact length are left; finds the greatest length that still fits."""
 
@@ -55,8 +79,9 @@ def plan(histogram: dict[int, int], capacity: int, units: int = 32, most: int =
     """[(lengths, repeats)]: which exact lengths share a container, and how many such containers there are.
 
     Lengths are put into ``units`` classes; repeat counts of the patterns of at most ``most`` parts
-    are fitted to the histogram of classes by non-negative least squares and rounded down. Every
-    pattern is then realised with exact lengths, the last place and what is left over taking the
+    are fitted to the histogram of classes by non-negative least squares, as a basic solution with at
+    most ``units`` of them, and rounded down, so rounding costs fewer containers than there are
+    classes. Every pattern is then realised with exact lengths, the last place and what is left over taking the
     greatest length that fits; the remaining lengths are packed best-fit, greatest first. Each step
     uses up a length or a pattern, so there are about as many steps as lengths and patterns, however
     many items.
@@ -165,7 +190,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     before = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = sized.join(before, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before")).withColumn("full", F.floor(F.col("n_tokens") / capacity).cast("int"))
     rest = (
-        ranked.where("length > 0").alias("i").join(F.broadcast(places.alias("p")), F.expr("i.length = p.length and i.rank >= p.r0 and i.rank < p.r1"))
+        ranked.where("length > 0").alias("i").join((F.broadcast(places) if len(rows) <= MOST_PLACES else places).alias("p"), F.expr("i.length = p.length and i.rank >= p.r0 and i.rank < p.r1"))
         .select("i.id", F.col("i.full").alias("piece"), (F.col("i.full").cast("bigint") * capacity).alias("token_start"), "i.n_tokens", (F.col("p.base") + F.col("i.rank") - F.col("p.r0")).alias("container_id"))
         .select("id", "piece", "token_start", F.col("n_tokens").alias("token_end"), (F.col("n_tokens") - F.col("token_start")).alias("n_tokens"), "container_id")
     )

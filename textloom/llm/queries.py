@@ -116,14 +116,14 @@ def p7_fill(spark, sf_dir):
 @registry.query("p8_mix")
 def p8_mix(spark, sf_dir):
     """The documents of the mix with the number of times each is used."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), redistribute=True)
 
 
 @registry.query("p8_shares")
 def p8_shares(spark, sf_dir):
     """Target and actual share of every source of the mix."""
     targets = table(spark, sf_dir, "mix_targets")
-    return mix_report(durable(mix(table(spark, sf_dir, "documents"), targets), "mix"), targets)
+    return mix_report(durable(mix(table(spark, sf_dir, "documents"), targets, redistribute=True), "mix"), targets)
 
 
 P9 = """
