@@ -99,3 +99,26 @@ def test_ranks_of_a_hot_key(spark):
     got = ranked_by_ranges(spark.createDataFrame(rows, "k string, v int").repartition(7), ["k"], ["v"], "place", 6).collect()
     assert sorted(r["place"] for r in got if r["k"] == "hot") == list(range(1000)) and all(r["place"] == r["v"] for r in got if r["k"] == "hot")
     assert {(r["k"], r["v"], r["place"]) for r in got if r["k"] != "hot"} == {("b", 2, 0), ("b", 5, 1), (None, 1, 0), (None, 9, 1)}
+
+
+def test_sizes_and_odd_names_across_fragments(spark):
+    rng = random.Random(7)
+    rows = [(f"n{i:03d}", f"n{rng.randrange(i):03d}" if i and rng.random() < 0.97 else None) for i in range(400)]
+    rows += [("a > x", None), ("b > y", "a > x"), ("loop1", "loop2"), ("loop2", "loop1"), ("into", "loop1")]
+    up = dict(rows)
+    want = {n: 0 for n in up}
+    for n in up:
+        x, seen = up[n], {n}
+        while x is not None and x not in seen:
+            seen.add(x)
+            x = up[x]
+        if x is None:
+            x = up[n]
+            while x is not None:
+                want[x] += 1
+                x = up[x]
+    f = hierarchy(spark.createDataFrame(rows, "id string, p string"), "id", "p", with_path=True, rows_per_fragment=30, shrink=2)
+    pairs = descendants(f).collect()
+    assert ("a > x", "b > y", 1) in {tuple(r) for r in pairs}
+    got = {r["node"]: r["n_descendants"] for r in descendant_counts(f, rows_per_fragment=25, shrink=2).collect()}
+    assert got == want and sum(got.values()) == len(pairs)
