@@ -2,7 +2,7 @@ import random
 
 from textloom.llm import boilerplate
 from textloom.llm.boilerplate import LINKS, density, lines_of, main_content, page_lines
-from textloom.llm.residue import PLACEHOLDER, found, judge_many, judged, real_content, segments
+from textloom.llm.residue import PLACEHOLDER, fit, found, judge_many, judged, real_content, segments, with_slots
 
 random.seed(9)
 NOUNS = "barn tractor council ledger shard harvest library goblin silo meadow parcel engine river market".split()
@@ -125,3 +125,19 @@ def test_residue(spark):
 def test_numbered_or_punctuated_repetition_is_residue():
     filler = ["Item 1 item 2 item 3 item 4 item 5 item 6", "Bla, bla - BLA (bla) bla; Bla", "Row 10: row 11, row 12: row 13, ROW 14: row 15"]
     assert [kind for kind, _ in judge_many([*filler, prose(1)], [])] == ["residue"] * 3 + [""]
+
+
+def test_slots_are_found_by_their_shape(spark):
+    texts = [prose(3) for _ in range(200)]
+    models = fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    slots = ["Dear {{first_name}}, " + prose(1), "Total: ${order.total} due", "[Your company]", "%CUSTOMER_NAME%", "<insert date>", "*|FNAME|*", "{0} of {1}", "__DATE__"]
+    got = with_slots([*slots, *texts], models.slots)
+    assert set(range(len(slots))) <= got and len(got) < 0.5 * len(texts)
+    assert [k for k, _ in judge_many(slots, models)] == ["placeholder"] * len(slots)
+    assert with_slots([], models.slots) in (set(), {0}) and judge_many([None, "", " "], models) == [("", 0.0)] * 3
+
+
+def test_models_do_not_depend_on_how_rows_are_spread(spark):
+    rows = [(prose(2),) for _ in range(150)] + [("Page not found.",), ("Loading...",)]
+    one, many = (fit(spark.createDataFrame(rows, "text string").repartition(n), fit_rows=100) for n in (1, 7))
+    assert all((a == b).all() for a, b in zip(one, many)) and (one.slots == many.slots).all()

@@ -71,7 +71,8 @@ def p4_content(spark, sf_dir):
 @registry.query("p4_extractors")
 def p4_extractors(spark, sf_dir):
     """How many records of each extractor are residue, by kind; the names are normalised."""
-    j = judged(table(spark, sf_dir, "extract_results").select("extract_id", "extractor_used", "text").dropDuplicates(["extract_id"]))
+    rows = table(spark, sf_dir, "extract_results").where(F.col("extract_id").isNotNull())
+    j = judged(rows.groupBy("extract_id").agg(F.max(F.struct("fetched_at", "extractor_used", "text")).alias("r")).select("extract_id", "r.extractor_used", "r.text"))
     return j.groupBy(F.lower(F.coalesce("extractor_used", F.lit("unknown"))).alias("extractor"), F.when(F.col("residue_kind") == "", "content").otherwise(F.col("residue_kind")).alias("kind")).agg(F.count("*").alias("n"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.shingles import mix
-from textloom.runtime import extended
+from textloom.runtime import durable, extended, release
 
 ORDER = 5
 BUCKETS = 1 << 19
@@ -100,8 +100,8 @@ def seed_counts() -> dict[str, np.ndarray]:
 
 def ratio(counts: np.ndarray, prose: np.ndarray) -> np.ndarray:
     """Log likelihood ratio per n-gram against prose, bounded so that one n-gram decides nothing."""
-    p = (counts + 0.05) / (counts.sum() + 0.05 * BUCKETS)
-    q = (prose + 0.05) / (prose.sum() + 0.05 * BUCKETS)
+    p = (counts + 0.05) / (counts.sum() + 0.05 * len(counts))
+    q = (prose + 0.05) / (prose.sum() + 0.05 * len(counts))
     r = np.clip(np.log(p / q), -4, 4)
     unseen = counts == 0  # the smaller sample must not win where neither has seen anything
     return np.where(unseen, np.where(prose > 0, np.minimum(r, -0.5), 0), r).astype(np.float32)
@@ -160,7 +160,11 @@ _AT_ONCE = 300_000  # characters that are scored in one go
 
 
 def judge_many(texts: list[str | None], tables: list[np.ndarray], share: float = 0.5) -> list[tuple[str, float]]:
-    """(kind, coverage) of every text; kind is '', 'placeholder' or 'residue'."""
+    """(kind, coverage) of every text; kind is '', 'placeholder' or 'residue'.
+
+    Texts with a window that looks like a slot by the slot model are searched for the notations of
+    PLACEHOLDER exactly; without that model (plain tables) all are.
+    """
     out = [("", 0.0)] * len(texts)
     waiting: list[tuple[int, list[str]]] = []
     held = 0
@@ -185,10 +189,12 @@ def judge_many(texts: list[str | None], tables: list[np.ndarray], share: float =
                 out[k] = ("residue" if coverage >= share else "", coverage)
         waiting.clear()
 
+    slots_of = getattr(tables, "slots", None)
+    suspects = set(range(len(texts))) if slots_of is None else with_slots([t or "" for t in texts], slots_of)
     for k, text in enumerate(texts):
         if not text or not text.strip():
             continue
-        slots = list(PLACEHOLDER.finditer(text))
+        slots = list(PLACEHOLDER.finditer(text)) if k in suspects else []
         quoted = [m.span() for m in _QUOTED.finditer(text)] if slots else []
         if any(not any(a <= m.start() < b for a, b in quoted) for m in slots):
             out[k] = ("placeholder", 1.0)
@@ -207,73 +213,132 @@ def judge(text: str, tables: list[np.ndarray]) -> tuple[str, float]:
     return judge_many([text], tables)[0]
 
 
-def _prose_counts(batches):
-    """Counts of the n-grams of sentence-like stretches; one that a task has seen, its digits aside, counts once."""
-    total, seen, fresh, held = np.zeros(BUCKETS), set(), [], 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for s in segments(text):
-                if _weight(s) < 40 or not _sentence(s):
-                    continue
-                key = hash(re.sub(r"\d+", "0", s))
-                if key not in seen:
-                    if len(seen) > 2_000_000:
-                        seen.clear()
-                    seen.add(key)
-                    fresh.append(s.replace("\x00", " "))
-                    held += len(s)
-            if held > _AT_ONCE:
-                total += np.bincount(_flat(fresh)[0], minlength=BUCKETS)
-                fresh, held = [], 0
-    if fresh:
-        total += np.bincount(_flat(fresh)[0], minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-
-def _clean_counts(tables):
-    def run(batches):
-        def clean():
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                kept = [t for t, (kind, _) in zip(texts, judge_many(texts, tables)) if not kind]
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["text"])
+_RUNS = [(re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"[^\S\x00]+"), " ")]
+#: n-gram length, buckets, n-grams a window and the log likelihood ratio it must exceed.
+SHAPE_ORDER, SHAPE_BUCKETS, SHAPE_WINDOW, SHAPE_LEAST = 3, 1 << 16, 3, -2.0
+
+
+def _shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket numbers, text numbers) of the n-grams of the texts' shapes: runs of letters, digits and blanks as one sign each, other signs as they are."""
+    t = " \x00 ".join(x.replace("\x00", " ") for x in texts)
+    for run, sign in _RUNS:
+        t = run.sub(sign, t)
+    c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(c) - SHAPE_ORDER + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(SHAPE_ORDER):
+        h = h * np.uint64(0x100000001B3) + c[k : k + n]
+    return (mix(h) % np.uint64(SHAPE_BUCKETS)).astype(np.int64), np.cumsum(c == 0)[:n]
+
+
+# The sample of slots still to be filled in, {N} a name in several spellings.
+_SLOTS = [
+    "{{{N}}}", "{{ {N} }}", "${{N}}", "{{N}}", "{0}", "<%{N}%>", "<%= {N} %>", "{% {N} %}", "[[{N}]]", "[Your {N}]", "[your {N}]", "[YOUR {N}]", "[Insert {N}]", "[insert {N} here]", "[Enter {N}]", "[Add {N}]", "[ADD {N}]",
+    "<insert {N}>", "<your {N}>", "<YOUR {N}>", "<enter {N} here>", "%{U}%", "__{U}__", "@@{N}@@", "##{U}##", "*|{U}|*", "«{T}»", "«{T}_{T}»", "[object Object]",
+]
+
+
+def slot_counts() -> np.ndarray:
+    """n-gram counts of the shapes of slots."""
+    names = [("name", "NAME", "Name"), ("user.name", "USER_NAME", "User"), ("order_id", "ORDER_ID", "Order"), ("date", "DATE", "Date"), ("item 2", "ITEM", "Item")]
+    out = np.zeros(SHAPE_BUCKETS)
+    for slot in _SLOTS:
+        for n, u, t in names:
+            filled = slot.replace("{N}", n).replace("{U}", u).replace("{T}", t)
+            np.add.at(out, _shapes([filled])[0], 1)
+    return out
+
+
+def with_slots(texts: list[str], table: np.ndarray) -> set[int]:
+    """Numbers of the texts in which a window of a few n-grams looks more like a slot than like prose."""
+    g, at = _shapes(texts)
+    total = np.concatenate(([0.0], np.cumsum(table[g], dtype=np.float64)))
+    if len(g) < SHAPE_WINDOW:
+        return set(range(len(texts)))
+    last = at[np.minimum(np.arange(len(at)) + SHAPE_ORDER + SHAPE_WINDOW - 2, len(at) - 1)]
+    hot = (total[SHAPE_WINDOW:] - total[:-SHAPE_WINDOW] > SHAPE_LEAST) & (at == last)[: len(g) - SHAPE_WINDOW + 1]
+    return set(np.unique(at[: len(hot)][hot]).tolist())
+
 
-        yield from _prose_counts(clean())
+def _learn(tables: "Models | None"):
+    """From the texts of one task: n-gram counts of the prose, of its shapes and of what ``tables`` judge residue; a sentence, its digits aside, counts once."""
+
+    def run(batches):
+        counts = {"prose": np.zeros(BUCKETS), "shape": np.zeros(SHAPE_BUCKETS), "found": np.zeros(BUCKETS)}
+        seen: set = set()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            verdicts = judge_many(texts, tables) if tables else [("", 0.0)] * len(texts)
+            prose, found = [], []
+            for text, (kind, covered) in zip(texts, verdicts):
+                if kind == "residue" and covered >= 0.8:
+                    found += [s for s in segments(text) if s not in seen]
+                    seen.update(found)
+                if kind:
+                    continue
+                for s in segments(text):
+                    if _weight(s) < 40 or not _sentence(s):
+                        continue
+                    key = re.sub(r"\d+", "0", s)
+                    if key not in seen:
+                        seen.add(key)
+                        prose.append(s.replace("\x00", " "))
+            for model, parts, size in (("prose", prose, BUCKETS), ("found", [f.replace("\x00", " ") for f in found], BUCKETS)):
+                if parts:
+                    counts[model] += np.bincount(_flat(parts)[0], minlength=size)
+            if prose:
+                counts["shape"] += np.bincount(_shapes(prose)[0], minlength=SHAPE_BUCKETS)
+        for model, total in counts.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["model", "bucket", "n"])
 
     return run
 
 
-def fit(df: DataFrame, text_col: str = "text", passes: int = 2) -> list[np.ndarray]:
-    """Likelihood-ratio tables of the filler, notice and key-mashing models against the prose of all texts.
+class Models(list):
+    """The likelihood-ratio tables of filler, notices and random keys, with that of slots in ``slots``."""
+
+    slots: np.ndarray | None = None
+
 
-    The prose model counts the n-grams of every text; from the second pass on, of every text that
-    the models so far don't judge to be residue. What reaches the driver is one number per bucket.
+def fit(df: DataFrame, text_col: str = "text", passes: int = 2, fit_rows: int = 10_000) -> Models:
+    """Likelihood-ratio tables of the filler, notice, key-mashing and slot models against prose.
+
+    The residue models start from the fixed, labelled sample of this module. Prose is learnt from at
+    most ``fit_rows`` texts of the data, those with the least hashes, whole texts, in one task, so the
+    tables don't depend on how the data are spread. From the second pass on, texts that the models so
+    far judge to be residue are left out of the prose, and those that are residue nearly throughout
+    join the notices: so wordings that the fixed sample lacks are learnt from their like. What reaches
+    the driver is one number per bucket and model.
     """
     seeds = seed_counts()
     texts = df.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"))
-    tables: list[np.ndarray] = []
-    for p in range(passes):
-        counted = texts.mapInArrow(_prose_counts if p == 0 else _clean_counts(tables), "bucket int, n double")
-        rows = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
-        prose = np.zeros(BUCKETS)
-        prose[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-        tables = [ratio(c, prose) for c in seeds.values()]
-    return tables
-
-
-def judged(df: DataFrame, id_col: str = "extract_id", text_col: str = "text") -> DataFrame:
+    sample = durable(texts.orderBy(F.xxhash64("text"), "text").limit(fit_rows).coalesce(1), "residue-sample")
+    models = None
+    for _ in range(passes):
+        rows = sample.coalesce(1).mapInArrow(_learn(models), "model string, bucket int, n double").toArrow().to_pandas()  # a row for each bucket and model
+        counts = {m: np.bincount(g["bucket"], weights=g["n"], minlength=SHAPE_BUCKETS if m == "shape" else BUCKETS) for m, g in rows.groupby("model")}
+        prose = counts.get("prose", np.zeros(BUCKETS))
+        models = Models(ratio(c + (counts.get("found", 0) if name == "notice" else 0), prose) for name, c in seeds.items())
+        models.slots = ratio(slot_counts(), counts.get("shape", np.zeros(SHAPE_BUCKETS)))
+    release(sample)
+    return models
+
+
+def judged(df: DataFrame, text_col: str = "text", fit_rows: int = 10_000) -> DataFrame:
     """All columns of ``df`` with ``residue_kind`` ('', 'placeholder', 'residue') and ``residue_coverage``.
 
     Null, empty and blank texts get '' and 0. Columns of those names are replaced. ``extractor_used``,
     ``content_type`` and ``http_status`` play no part.
 
-    A placeholder outside quotes and code makes 'placeholder'. Else every sentence or line is scored in
+    A placeholder outside quotes and code makes 'placeholder'; windows of the text's shape that favour
+    the slot model say where to look for one. Else every sentence or line is scored in
     windows of characters against models of filler, of notices and of random keys; stretches covered
     by windows that favour these are residue, other sentences are prose, and titles, menus and
-    imprints count as neither. Residue that makes up at least half is 'residue'.
+    imprints count as neither. Residue that makes up at least half is 'residue'. The models are fitted
+    on at most ``fit_rows`` texts (see fit); every text is scored, in one pass.
     """
-    tables = fit(df, text_col)
+    tables = fit(df, text_col, fit_rows=fit_rows)
 
     def run(batches):
         for batch in batches:
@@ -288,7 +353,7 @@ def judged(df: DataFrame, id_col: str = "extract_id", text_col: str = "text") ->
 
 def found(df: DataFrame, id_col: str = "extract_id", text_col: str = "text") -> DataFrame:
     """(id): ids of records that are residue; a repeated id comes once, null ids are left out."""
-    return judged(df.select(id_col, text_col).where(F.col(id_col).isNotNull()), id_col, text_col).where("residue_kind != ''").select(id_col).distinct()
+    return judged(df.select(id_col, text_col).where(F.col(id_col).isNotNull()), text_col).where("residue_kind != ''").select(id_col).distinct()
 
 
 def real_content(df: DataFrame, text_col: str = "text") -> DataFrame:
