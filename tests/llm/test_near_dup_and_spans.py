@@ -2,7 +2,7 @@ import random
 
 from textloom.functions.shingles import WORD
 from textloom.llm.near_dup import group_pairs, near_duplicates
-from textloom.llm.shared_spans import removal_clusters, shared_shares, shared_spans
+from textloom.llm.shared_spans import paragraph_links, removal_clusters, shared_shares, shared_spans, tuned_bands
 
 VOCABULARY = [f"word{i}" for i in range(500)]
 
@@ -133,3 +133,15 @@ def test_clusters(spark):
     rows = [(1, noise(30) + a), (2, a + noise(5) + b), (3, b), (4, noise(90))]
     got = {r["doc_id"]: r["cluster_id"] for r in removal_clusters(spark.createDataFrame(rows, "doc_id bigint, text string"), length=40).collect()}
     assert got == {1: 1, 2: 1, 3: 1}
+
+
+def test_bands_are_tuned_and_similar_paragraphs_tie_documents(spark):
+    assert tuned_bands(1.0, 1.0, 1, 96) == (1, 96) and tuned_bands(0.8, 0.999) == (24, 4) and tuned_bands(0.6, 0.999)[1] < 4
+    random.seed(11)
+    para = [random.choices(VOCABULARY, k=60) for _ in range(8)]
+    rows = [(1, "\n".join(" ".join(p) for p in para[:3])), (2, "Intro line here\n" + " ".join(edited(para[1], 1))), (3, " ".join(para[4])), (4, " ".join(edited(para[4], 20))), (5, None), (6, "short"), (7, " ".join(para[2]) + "\n" + " ".join(para[6])), (8, " ".join(para[6]).upper())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in paragraph_links(df).collect()} == {(1, 2), (1, 7), (7, 8)}
+    got = {r["doc_id"]: r["cluster_id"] for r in removal_clusters(df, length=2000).collect()}
+    assert got == {1: 1, 2: 1, 7: 1, 8: 1}
+    assert removal_clusters(df.limit(0)).count() == 0

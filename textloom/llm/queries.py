@@ -140,7 +140,11 @@ def p9_found(spark, sf_dir):
     return shared_spans(table(spark, sf_dir, "documents"))
 
 
-@registry.query("p9_shares")
+P9_SHARES = f"""SELECT d.doc_id, d.n_chars, coalesce(s.n, 0) AS n_spans, coalesce(s.chars, 0)::BIGINT AS shared_chars, CASE WHEN d.n_chars > 0 THEN round(coalesce(s.chars, 0) / d.n_chars, 6) ELSE 0 END AS shared_share
+FROM (SELECT doc_id, max(length(text)) AS n_chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id) d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_start) AS chars FROM ({P9}) GROUP BY doc_id) s USING (doc_id)"""
+
+
+@registry.query("p9_shares", P9_SHARES)
 def p9_shares(spark, sf_dir):
     """Per document how much of it is shared elsewhere."""
     return shared_shares(table(spark, sf_dir, "documents"))
@@ -148,5 +152,5 @@ def p9_shares(spark, sf_dir):
 
 @registry.query("p9_clusters")
 def p9_clusters(spark, sf_dir):
-    """Documents that share spans, by component."""
+    """Documents that share spans or similar paragraphs, by component."""
     return removal_clusters(table(spark, sf_dir, "documents"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from textloom.functions.shingles import mix
+from textloom.llm.near_dup import near_duplicates
 from textloom.operators.components import connected_components
-from textloom.runtime import durable, release
+from textloom.runtime import durable, release, split_join
 
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
 
@@ -178,6 +181,37 @@ def shared_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.withColumn("shared_share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))
 
 
-def removal_clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None) -> DataFrame:
-    """(doc_id, cluster_id): documents that share a span, directly or through others; the least id names the cluster."""
-    return connected_components(shared_spans(df, id_col, text_col, length, gram, links=True)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id"))
+def tuned_bands(similarity: float = 0.8, recall: float = 0.999, matches: int = 2, hashes: int = 96) -> tuple[int, int]:
+    """(bands, rows): the longest bands by which pairs of that similarity still collide ``matches`` times with at least the probability ``recall``."""
+    for rows in range(hashes // matches, 0, -1):
+        bands, p = hashes // rows, similarity**rows
+        if 1 - sum(math.comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(matches)) >= recall:
+            return bands, rows
+    raise ValueError("no bands of so few hashes reach that recall")
+
+
+def paragraph_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """(u, v): documents tied to the least document that holds a paragraph of the same group.
+
+    Paragraphs are lines of at least ``words`` words. They are banded by MinHash over their runs of
+    ``words`` words, with bands tuned for ``recall``; colliding paragraphs are joined and verified by
+    exact Jaccard similarity, and components of verified paragraphs are groups (see near_duplicates).
+    """
+    docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), r"[\n\f]+")).alias("n", "text"))
+    paragraphs = durable(docs.where(F.length("text") > 2 * words).distinct().withColumn("id", F.monotonically_increasing_id()), "paragraphs")
+    bands, rows = tuned_bands(similarity, recall)
+    groups = durable(near_duplicates(paragraphs, "id", "text", words, similarity, bands, rows), "paragraph-groups")
+    placed = groups.join(paragraphs.select("id", "doc"), "id").select("group_id", "doc")
+    least = durable(placed.groupBy("group_id").agg(F.min("doc").alias("u"), F.max("doc").alias("last"), F.count("*").alias("n")).where("u != last").drop("last"), "paragraph-least")
+    return split_join(placed, least, "group_id", weight="n").where("doc != u").select("u", F.col("doc").alias("v")).distinct()
+
+
+def removal_clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int | None = None, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, cluster_id): documents tied by similar paragraphs or by an exact span, directly or through others; the least id names the cluster.
+
+    Paragraphs are compared as in paragraph_links; spans of at least ``length`` characters that lie
+    within or across paragraphs that are not similar as wholes come from shared_spans. Documents that
+    are tied to none give no row; null ids and texts are left out.
+    """
+    exact = shared_spans(df, id_col, text_col, length, gram, links=True)
+    return connected_components(exact.unionByName(paragraph_links(df, id_col, text_col, words, similarity))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,12 +33,10 @@ def _listings(text: str, lines: list[tuple[int, int]]) -> list[bool]:
         f = fences[k]
         if f and not (f[0][0] == "`" and "`" in f[1]):
             later = bare.get(f[0], [])
-            while later and later[0] <= k:
-                later.pop(0)
-            if later:
-                for j in range(k + 1, later[0] + 1):
-                    inside[j] = True
-                k = later[0]
+            at = bisect_right(later, k)
+            if at < len(later):
+                inside[k + 1 : later[at] + 1] = [True] * (later[at] - k)
+                k = later[at]
         k += 1
     return inside
 
@@ -89,29 +88,51 @@ def _merge(parts: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(text: str, limit: int) -> list[tuple[int, int]]:
-    """Ranges of at most ``limit`` characters that tile ``text`` and start at block starts where possible.
+def tree_of(text: str) -> dict:
+    """The structure tree: a section holds its heading, its blocks and the deeper sections; leaves are blocks, which tile the text.
 
-    Headings make a tree: a section holds its blocks and the deeper sections. A node that fits is one
-    piece; only an oversized node is entered, and its children's pieces are merged with their siblings
-    up to the limit.
+    ``at`` is a block's first character; blank lines before the first block belong to that block's range.
     """
     starts = block_starts(text)
-    if not starts or len(text) <= limit:
-        return _cut(text, 0, len(text), limit) if len(text) > limit else [(0, len(text))] if text else []
-    starts[0] = (0, starts[0][1])
-    ends = [s for s, _ in starts[1:]] + [len(text)]
     root: dict = {"level": 0, "start": 0, "end": len(text), "children": []}
     stack = [root]
-    for (a, level), b in zip(starts, ends):
+    for k, (at, level) in enumerate(starts):
+        a, b = at if k else 0, starts[k + 1][0] if k + 1 < len(starts) else len(text)
+        leaf = {"start": a, "end": b, "at": at}
         if level:
             while stack[-1]["level"] >= level:
                 stack.pop()["end"] = a
-            section = {"level": level, "start": a, "end": len(text), "children": [{"start": a, "end": b}]}
+            section = {"level": level, "start": a, "end": len(text), "children": [leaf]}
             stack[-1]["children"].append(section)
             stack.append(section)
         else:
-            stack[-1]["children"].append({"start": a, "end": b})
+            stack[-1]["children"].append(leaf)
+    return root
+
+
+def leaves(node: dict) -> list[dict]:
+    """The blocks of a tree, in order."""
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if "children" in n:
+            todo += reversed(n["children"])
+        else:
+            out.append(n)
+    return out
+
+
+def pack(text: str, limit: int) -> list[tuple[int, int]]:
+    """Ranges of at most ``limit`` characters that tile ``text`` and start at block starts where possible.
+
+    A node of the structure tree that fits is one piece; only an oversized node is entered, and its
+    children's pieces are merged with their siblings up to the limit.
+    """
+    root = tree_of(text)
+    if len(text) <= limit:
+        return [(0, len(text))] if text else []
+    if not root["children"]:
+        return _cut(text, 0, len(text), limit)
 
     def walk(node: dict) -> list[tuple[int, int]]:
         if node["end"] - node["start"] <= limit:
@@ -134,7 +155,7 @@ def _oversized(df: DataFrame, id_col: str, text_col: str, limit: int, keep: list
 
 
 def split_blocks(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", limit: int = 1500) -> DataFrame:
-    """(id, cut_char): the first character of every block of every text longer than ``limit``.
+    """(id, cut_char): the first character of every leaf of the structure trees of the texts longer than ``limit``.
 
     Null ids and null or shorter texts give no row; a repeated id counts once; offsets count code points.
     """
@@ -142,7 +163,7 @@ def split_blocks(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            found = [[a for a, _ in block_starts(t)] for t in batch.column(1).to_pylist()]
+            found = [[leaf["at"] for leaf in leaves(tree_of(t))] for t in batch.column(1).to_pylist()]
             spread = pa.array([k for k, f in enumerate(found) for _ in f], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(spread), pa.array([a for f in found for a in f], pa.int64())], names=["id", "cut_char"])
 

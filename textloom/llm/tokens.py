@@ -16,15 +16,17 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_KEPT: dict = {}  # workers are reused, so a vocabulary is read once each
+
+
 def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     import tiktoken
 
-    kept = tiktoken.__dict__.setdefault("_textloom_kept", {})  # workers are reused, so it is read once each
-    if (vocabulary, pattern) not in kept:
+    if (vocabulary, pattern) not in _KEPT:
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        kept[vocabulary, pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return kept[vocabulary, pattern]
+        _KEPT[vocabulary, pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _KEPT[vocabulary, pattern]
 
 
 def counted(df: DataFrame, id_col: str, text_col: str, keep: list[str], vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
