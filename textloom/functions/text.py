@@ -15,7 +15,7 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def normalize_text(text: Column) -> Column:
-    """Line feeds for CRLF, four spaces for a tab, NFC. Text of ASCII characters only never leaves the JVM for nothing but NFC."""
+    """Line feeds for CRLF, four spaces for a tab, NFC. Every text passes through one Python function, which hands ASCII back as it is."""
     return nfc(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\t"), F.lit("    ")))
 
 
@@ -75,6 +75,27 @@ def type_of_extension(ext: Column) -> Column:
     return F.coalesce(F.element_at(_literal_map(back), F.lower(ext)), F.lit("application/octet-stream"))
 
 
+def safe_id(name: Column) -> Column:
+    """Whether a project's id has 1 to 64 lower-case letters, digits and inner hyphens."""
+    return F.coalesce((F.length(name) <= 64) & name.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?$"), F.lit(False))
+
+
+def safe_tag(tag: Column) -> Column:
+    """Whether a tag has 1 to 64 letters, digits, hyphens and underscores."""
+    return F.coalesce(tag.rlike(r"^[A-Za-z0-9_-]{1,64}$"), F.lit(False))
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path has 1 to 4,096 characters, no steps upwards, no null character and none of the system's folders."""
+    system = r"(?i)/etc/|/proc/|/sys/|C:\\Windows\\|C:\\System"
+    return F.coalesce(F.length(path).between(1, 4096) & ~F.contains(path, F.lit("..")) & ~F.contains(path, F.lit("./")) & ~F.contains(path, F.lit("\x00")) & ~path.rlike(system), F.lit(False))
+
+
+def random_id() -> Column:
+    """A random UUID; not the same when a row is computed again, so write it before it is used twice."""
+    return F.expr("uuid()")
+
+
 def safe_url(uri: Column) -> Column:
     """Whether a URL is http(s) with a host that isn't this machine or a private network."""
     private = r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.0\.0\.0|\[?::1)"

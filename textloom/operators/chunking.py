@@ -6,8 +6,9 @@ Arrow UDFs over whole batches. Lengths count code points.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -84,6 +85,28 @@ def split_headings(text: str, cfg: ChunkConfig) -> list[str]:
     return _pack(parts, cfg.max_chars, "\n\n")
 
 
+WHOLE = -1
+
+
+def _atoms(text: str, cfg: ChunkConfig) -> Iterator[tuple[str | None, str, int]]:
+    """(piece, separator, group) in order: pieces of at most max_chars, cut at the first separator that splits; larger ones are cut at the later separators, as a group of their own, in the end by windows of group WHOLE. A group begins with None."""
+    numbers = itertools.count()
+    todo: list[tuple[str, tuple[str, ...], str, int]] = [(text, tuple(cfg.separators), "", WHOLE)]
+    while todo:
+        t, separators, sep, group = todo.pop()
+        if len(t) <= cfg.max_chars:
+            yield t, sep, group
+            continue
+        k = next((k for k, x in enumerate(separators) if x in t), None)
+        if k is None:
+            for i in range(0, len(t), cfg.max_chars - cfg.overlap_chars):
+                yield t[i : i + cfg.max_chars], "", WHOLE
+        else:
+            own = next(numbers)
+            yield None, "", own
+            todo += [(p, separators[k + 1 :], separators[k], own) for p in reversed(t.split(separators[k]))]
+
+
 def split_recursive(text: str, cfg: ChunkConfig) -> list[str]:
     """By the first separator that splits, packed up to the size; an oversized part by the later separators, else by windows.
 
@@ -93,42 +116,34 @@ def split_recursive(text: str, cfg: ChunkConfig) -> list[str]:
     overlap_chars of the one before.
     """
 
-    def cut(t: str, separators: tuple[str, ...]) -> list[str]:
-        if len(t) <= cfg.max_chars:
-            return [t]
-        for k, sep in enumerate(separators):
-            parts = t.split(sep)
-            if len(parts) > 1:
-                out: list[str] = []
-                buffer = ""
-
-                def flush(piece: str) -> None:
-                    if not piece:
-                        return
-                    if len(piece) >= cfg.min_chars:
-                        out.append(piece)
-                    elif out and (cfg.compat or len(out[-1]) + len(sep) + len(piece) <= cfg.max_chars):
-                        out[-1] += sep + piece
-                    elif not cfg.compat:
-                        out.append(piece)
-
-                for p in parts:
-                    joined = buffer + sep + p if buffer else p
-                    if len(joined) <= cfg.max_chars:
-                        buffer = joined
-                        continue
-                    flush(buffer)
-                    buffer = ""
-                    if len(p) > cfg.max_chars:
-                        out += cut(p, separators[k + 1 :])
-                    else:
-                        buffer = p
-                flush(buffer)
-                return out
-        step = cfg.max_chars - cfg.overlap_chars
-        return [t[i : i + cfg.max_chars] for i in range(0, len(t), step)]
-
-    chunks = [c for c in cut(text, cfg.separators) if c]
+    out: list[str] = []
+    begins: dict[int, int] = {}
+    held, of, joint = "", -1, ""
+
+    def settle() -> None:
+        if not held:
+            return
+        before = len(out) > begins[of]
+        if len(held) >= cfg.min_chars:
+            out.append(held)
+        elif before and (cfg.compat or len(out[-1]) + len(joint) + len(held) <= cfg.max_chars):
+            out[-1] += joint + held
+        elif not cfg.compat:
+            out.append(held)
+
+    for piece, sep, group in _atoms(text, cfg):
+        if piece is not None and group == of and held and len(held) + len(sep) + len(piece) <= cfg.max_chars:
+            held += sep + piece
+            continue
+        settle()
+        held, of, joint = piece or "", group, sep
+        if piece is None:
+            begins[group] = len(out)
+        elif group == WHOLE:  # windows and texts that fit stand as they are
+            out.append(held)
+            held = ""
+    settle()
+    chunks = [c for c in out if c]
     if cfg.overlap_chars and len(chunks) > 1:
         chunks = [chunks[0], *(a[-cfg.overlap_chars :] + b for a, b in zip(chunks, chunks[1:]))]
     return chunks
@@ -158,6 +173,13 @@ def split_hierarchical(text: str, cfg: ChunkConfig) -> list[tuple[str, int, int,
     return out
 
 
+def split_text(text: str, strategy: str = "recursive", max_chars: int = 1500, overlap_chars: int = 150) -> list[str]:
+    """The chunks of one text by a strategy that folds over it (recursive, by_sentence, by_paragraph, by_heading)."""
+    if strategy not in _FOLDS:
+        raise ValueError(f"strategy must be one of {', '.join(_FOLDS)}")
+    return _FOLDS[strategy](text, ChunkConfig(strategy=strategy, max_chars=max_chars, overlap_chars=overlap_chars))
+
+
 _FOLDS: dict[str, Callable[[str, ChunkConfig], list[str]]] = {"by_sentence": split_sentences, "by_paragraph": split_paragraphs, "by_heading": split_headings, "recursive": split_recursive}
 _PIECE = T.StructType([T.StructField("text", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("context", T.StringType())])
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from textloom.operators.ranking import ranked_by_ranges
 from textloom.runtime import durable, release
 from textloom.schema import ExpandConfig
 
@@ -19,15 +20,18 @@ def latest_chunks(df: DataFrame) -> DataFrame:
 def neighbours(chunks: DataFrame, hits: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """(hit_id, chunk_id, distance): the chunks of the hit's document up to so many places away.
 
-    Places follow (chunk_index, chunk_id), nulls first. Chunks meet the hits on their document, and
-    of either side of a hit only the nearest are kept, by every task before the shuffle; so a document
-    of any length is no hot group. ``hits`` has (id); repeated hits count once.
+    Places follow (chunk_index, chunk_id), nulls first. The chunks of the hits' documents are ranked
+    by ranges, and the hits meet them on (document, place), which is unique; so neither a document of
+    any length nor hits that are all chunks make a hot group or a product. ``hits`` has (id); repeated
+    hits count once.
     """
-    wanted = hits.select(F.col("id").alias("chunk_id")).distinct().join(chunks.select("chunk_id", "doc_id", "chunk_index"), "chunk_id").select("doc_id", F.col("chunk_id").alias("hit_id"), F.struct("chunk_index", "chunk_id").alias("at"))
-    near = chunks.select("doc_id", "chunk_id", F.struct("chunk_index", "chunk_id").alias("place")).join(wanted, "doc_id").where("place != at").withColumn("ahead", F.col("place") > F.col("at"))
-    up = near.where("ahead").withColumn("distance", F.row_number().over(W.partitionBy("hit_id").orderBy("place"))).where(F.col("distance") <= after)
-    down = near.where("not ahead").withColumn("distance", F.row_number().over(W.partitionBy("hit_id").orderBy(F.desc("place")))).where(F.col("distance") <= before).withColumn("distance", -F.col("distance"))
-    return up.select("hit_id", "chunk_id", "distance").union(down.select("hit_id", "chunk_id", "distance"))
+    ids = hits.select(F.col("id").alias("chunk_id")).distinct()
+    docs = chunks.join(ids, "chunk_id", "left_semi").select("doc_id").distinct()
+    own = chunks.select("doc_id", "chunk_id", "chunk_index").join(docs, "doc_id", "left_semi")
+    placed = durable(ranked_by_ranges(own, ["doc_id"], ["chunk_index", "chunk_id"], "place"), "places").select("doc_id", "chunk_id", "place")
+    steps = F.array(*[F.lit(d) for d in range(-before, after + 1) if d]) if before + after else F.array().cast("array<int>")
+    wanted = placed.join(ids, "chunk_id", "left_semi").select("doc_id", F.col("chunk_id").alias("hit_id"), F.col("place").alias("at"), F.explode(steps).alias("distance"))
+    return wanted.select("doc_id", "hit_id", "distance", (F.col("at") + F.col("distance")).alias("place")).join(placed, ["doc_id", "place"]).select("hit_id", "chunk_id", "distance")
 
 
 def hydrate(chunks: DataFrame, hits: DataFrame, cfg: ExpandConfig = ExpandConfig()) -> DataFrame:

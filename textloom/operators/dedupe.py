@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from textloom.functions.shingles import MULT, WordHashes, mix, permutations, shingle_hashes, signature
 from textloom.operators.components import connected_components
@@ -26,13 +26,21 @@ def exact(df: DataFrame, id_col: str, text_col: str, scope: str | None = None) -
     return out.select("id", "kept_id", (F.col("id") == F.col("kept_id")).alias("is_kept"))
 
 
-def report(marked: DataFrame, removed_limit: int = 1000) -> DataFrame:
-    """(kept_id, n_removed, first_removed, last_removed) for every id that stands for others; ``removed`` lists at most ``removed_limit`` of them."""
+def removed_lists(marked: DataFrame, limit: int = 1000) -> DataFrame:
+    """(kept_id, n_removed, removed) for every id that stands for others; ``removed`` lists, in order, the first ``limit`` of what it stands for, ``n_removed`` counts all."""
+    gone = marked.where("not is_kept")
+    place = F.row_number().over(W.partitionBy("kept_id").orderBy("id"))
+    lists = gone.withColumn("place", place).where(F.col("place") <= limit).groupBy("kept_id").agg(F.array_sort(F.collect_list("id")).alias("removed"))  # at most ``limit`` ids each
+    return gone.groupBy("kept_id").agg(F.count("*").alias("n_removed")).join(lists, "kept_id")
+
+
+def report(marked: DataFrame) -> DataFrame:
+    """(kept_id, n_removed, first_removed, last_removed) for every id that stands for others (see removed_lists for all of them)."""
     gone = marked.where("not is_kept")
     return gone.groupBy("kept_id").agg(F.count("*").alias("n_removed"), F.min("id").alias("first_removed"), F.max("id").alias("last_removed"))
 
 
-def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95, scope: str | None = None, max_rounds: int = 60) -> DataFrame:
+def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95, scope: str | None = None) -> DataFrame:
     """(id, kept_id, is_kept, n_links): greedy removal of near-duplicates by token sets, in the order of ids.
 
     Tokens are runs between white space, lower case. A row is removed if it is at least ``threshold``
@@ -45,7 +53,8 @@ def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95,
     sets that similar share one of their first (1 - threshold) of tokens. Equal sets count as one
     row, and what rows that are surely kept remove is compared no further, so groups of copies and
     near-copies give about one pair a row. The greedy order is resolved in rounds: a row none of
-    whose earlier links is undecided or kept is kept.
+    whose earlier links is undecided or kept is kept. Every round decides at least the first of what
+    is undecided, so the rounds end, after as many as the longest chain of rows that depend on each other.
     """
     token = F.array_distinct(F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda t: t != ""))
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.first(token).alias("tokens"), *([F.first(scope).alias("scope")] if scope else [])).where(F.size("tokens") > 0)
@@ -73,15 +82,13 @@ def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95,
     near = a.join(b, F.expr(f"a.k = b.k and a.token = b.token and a.id < b.id and least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) - 1e-9")).select(F.col("a.set").alias("u"), F.col("b.set").alias("v"))
     links = durable(star.union(verified(near)).distinct(), "jaccard-links")
     state = durable(sets.select("set", F.lit(None).cast("boolean").alias("kept")), "jaccard-state")
-    for _ in range(max_rounds):
+    while True:
         now = links.join(state.withColumnRenamed("set", "u"), "u").groupBy("v").agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.max(F.col("kept").isNull()).alias("any_open"))
         new = state.join(now.withColumnRenamed("v", "set"), "set", "left").select("set", F.coalesce("kept", F.when(F.col("any_kept"), False).when(F.coalesce("any_open", F.lit(False)), F.lit(None)).otherwise(True)).alias("kept"))
         old, state = state, durable(new, "jaccard-state")
         release(old)
         if state.where("kept is null").isEmpty():
             break
-    else:
-        raise RuntimeError(f"removal did not settle within {max_rounds} rounds")
     stands = links.join(state.where("kept").select(F.col("set").alias("u")), "u").groupBy("v").agg(F.min("uid").alias("kept_id"))
     degree = links.select(F.explode(F.array("u", "v")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
     lead = sets.select("set", F.col("id").alias("lead")).join(state, "set").join(stands.withColumnRenamed("v", "set"), "set", "left").join(degree, "set", "left").select("set", F.when(F.col("kept"), F.col("lead")).otherwise(F.col("kept_id")).alias("kept_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -179,8 +179,15 @@ def route_responses(df: DataFrame, max_bytes: int = 10 * 1024 * 1024) -> DataFra
     return marked.withColumn("text", text).withColumn("error", error).drop("__raw")
 
 
-def page_slices(text: Column, n_pages: Column) -> Column:
-    """array<struct<page, text, char_count, is_empty>>: a text without page marks cut into slices of equal length."""
+def page_slices(text: Column, n_pages: Column, first: int | None = None, last: int | None = None) -> Column:
+    """array<struct<page, text, char_count, is_empty>>: a text without page marks cut into slices of equal length; of these the pages from ``first`` to ``last``, both included, if given."""
+    slices = _slices(text, n_pages)
+    if first is not None or last is not None:
+        slices = F.filter(slices, lambda p: (p["page"] >= (first or 1)) & (p["page"] <= (F.lit(last) if last is not None else n_pages)))
+    return slices
+
+
+def _slices(text: Column, n_pages: Column) -> Column:
     size = F.greatest(F.ceil(F.length(text) / n_pages), F.lit(1)).cast("int")
     return F.transform(
         F.sequence(F.lit(1), n_pages),

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from textloom.functions.vectors import local_embedding
 from textloom.operators import dedupe, diagnostics, index, retrieval
+from textloom.operators.catalog import Project
 from textloom.operators.chunking import chunk_documents
 from textloom.operators.extract import pdf_text, route_responses
+from textloom.runtime import durable
 from textloom.schema import ChunkConfig, RetrievalProfile
 from textloom.sources import readers
 
@@ -133,6 +137,40 @@ def profile_from_json(text: str) -> RetrievalProfile:
     return RetrievalProfile(**d | {"modes": tuple(d["modes"]), "filters": tuple(tuple(f) for f in d["filters"])})
 
 
+class Trace:
+    """What passed each stage of a query: rows and seconds, observed while the query runs, without running it twice."""
+
+    def __init__(self) -> None:
+        self._stages: list[tuple[str, Observation, float]] = []
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` with its rows counted under ``name`` once an action has run."""
+        seen = Observation()
+        self._stages.append((name, seen, time.monotonic()))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def report(self) -> list[dict]:
+        """(step, name, rows, planned_after) of every stage, in order; to be called after the action."""
+        began = self._stages[0][2] if self._stages else 0.0
+        return [{"step": k, "name": name, "rows": seen.get["rows"], "planned_after": round(at - began, 3)} for k, (name, seen, at) in enumerate(self._stages)]
+
+
+def traced_search(rows: DataFrame, query_vector: Sequence[float], k: int = 10, filters=None) -> tuple[DataFrame, list[dict]]:
+    """(hits, trace): semantic search with the rows of each stage: collection, after filters, hits."""
+    trace = Trace()
+    kept = trace.stage("collection", rows)
+    for name, op, value in filters or ():
+        kept = kept.where(retrieval.predicate(name, op, value))
+    hits = durable(trace.stage("hits", retrieval.semantic(trace.stage("filtered", kept), query_vector, k)), "hits")
+    return hits, trace.report()
+
+
+def project_stats(spark: SparkSession, root: str) -> DataFrame:
+    """(project, sources, chunks, vectors, builds) of every project below a folder."""
+    parts = [Project(spark, root, name).stats().select(F.lit(name).alias("project"), "*") for name in list_projects(spark, root)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "project string, sources bigint, chunks bigint, vectors bigint, builds int")
+
+
 def list_projects(spark: SparkSession, root: str) -> list[str]:
     """Names of the projects below a folder, in order."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

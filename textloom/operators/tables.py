@@ -161,12 +161,20 @@ def context_of(text: Column, start: Column, end: Column, size: int = 100) -> Col
 
 
 def caption(before: Column) -> Column:
-    """'Table N: text' or 'Figure N: text' from the last three lines before a table; null if there is none."""
+    """'Table N: text', 'Figure N: text' or 'Table N' from the last three lines before a table, the nearest first; null if there is none.
+
+    A line reads "Table 2: words", "Table 2 words" or "Table 2"; marks of bold type around it don't count.
+    """
     lines = F.filter(F.split(before, "\n"), lambda s: F.trim(s) != "")
-    last = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)), "\n")
-    found = r"(?im)^\s*\**(table|figure)\s+(\d+)\s*[:.–-]\s*(.+?)\**\s*$"
-    kind, number, words = (F.regexp_extract(last, found, k) for k in (1, 2, 3))
-    return F.when(number != "", F.concat(F.initcap(kind), F.lit(" "), number, F.lit(": "), words))
+    last = F.reverse(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)))
+
+    def one(line: Column) -> Column:
+        pattern = r"(?i)^\s*\**(table|figure)\s*(\d+)(?:\s*[:.–-]\s*|\s+|(?=\**\s*$))(.*?)\**\s*$"
+        kind, number, words = (F.regexp_extract(line, pattern, k) for k in (1, 2, 3))
+        head = F.concat(F.initcap(kind), F.lit(" "), number)
+        return F.when(number != "", F.when(words == "", head).otherwise(F.concat(head, F.lit(": "), words)))
+
+    return F.get(F.array_compact(F.transform(last, one)), F.lit(0))
 
 
 def table_chunks(headers: Column, rows: Column, max_rows: int = 20) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.operators import classify as rules
 from textloom.operators import context, diagnostics, pipeline, retrieval
 from textloom.plans.registry import Registry
-from textloom.runtime import table
+from textloom.runtime import durable, table
 from textloom.schema import ExpandConfig
 
 registry = Registry()
@@ -27,7 +27,27 @@ def query_vector(text: str, dim: int = 64) -> list[float]:
 VECTOR = query_vector(TEXT)
 
 
+_STORED: dict = {}
+
+
 def rows(spark, sf_dir):
+    """The stored collection of a folder's chunks and vectors: built by the first search of a session, and again once a table has changed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def stamp(name):
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        files = fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    now = stamp("chunk_records"), stamp("vector_records")
+    if _STORED.get(key, (None,))[0] != now:
+        _STORED[key] = now, durable(collected(spark, sf_dir), "collection")
+    return _STORED[key][1]
+
+
+def collected(spark, sf_dir):
     """(id, text, source_id, model, embedding): every chunk with its current usable vector of one model, if it has one."""
     chunks = table(spark, sf_dir, "chunk_records").where(F.col("chunk_id").isNotNull()).groupBy(F.col("chunk_id").alias("id")).agg(F.max("text").alias("text"), F.max("source_id").alias("source_id"))
     v = table(spark, sf_dir, "vector_records").where(F.col("chunk_id").isNotNull()).groupBy(F.col("chunk_id").alias("id")).agg(F.max(F.struct("created_at", "model", "embedding")).alias("r")).select("id", "r.model", "r.embedding")
@@ -244,7 +264,7 @@ def hydrate_capped(spark, sf_dir):
 
 @query("parent_chains", f"""WITH RECURSIVE {CHUNKS}, up AS (SELECT lower(trim(chunk_id)) AS node, chunk_id, lower(trim(parent_id)) AS parent FROM dc),
 ch AS (SELECT up.chunk_id AS hit_id, up.chunk_id, up.parent, [up.node] AS seen, 0 AS distance FROM up JOIN hit ON up.chunk_id = hit.id
-  UNION ALL SELECT ch.hit_id, up.chunk_id, up.parent, list_append(ch.seen, up.node), ch.distance + 1 FROM ch JOIN up ON ch.parent = up.node WHERE NOT list_contains(ch.seen, up.node) AND ch.distance < 12)
+  UNION ALL SELECT ch.hit_id, up.chunk_id, up.parent, list_append(ch.seen, up.node), ch.distance + 1 FROM ch JOIN up ON ch.parent = up.node WHERE NOT list_contains(ch.seen, up.node))
 SELECT hit_id, chunk_id, distance::BIGINT AS distance FROM ch WHERE distance > 0""")
 def parent_chains(spark, sf_dir):
     """Ancestors of ten hits, nearest first."""

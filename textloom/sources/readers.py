@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -60,11 +61,27 @@ def select_urls(urls: DataFrame, include: Iterable[str] = (), exclude: Iterable[
     return rows if max_pages is None else rows.limit(max_pages)
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]], allowed: Iterable[str] = (), max_bytes: int = 50 * 1024 * 1024, per_task: int = 64) -> DataFrame:
+def _bounded(body, max_bytes: int, ends: float) -> bytes | None:
+    """The body, read piece by piece if it comes in pieces; None once it is larger than allowed, an error once its time is over."""
+    if isinstance(body, bytes):
+        return body if len(body) <= max_bytes else None
+    out = bytearray()
+    for piece in body:
+        out += piece
+        if len(out) > max_bytes:
+            return None
+        if time.monotonic() > ends:
+            raise TimeoutError("took too long")
+    return bytes(out)
+
+
+def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes | Iterable[bytes]]], allowed: Iterable[str] = (), max_bytes: int = 50 * 1024 * 1024, per_task: int = 64, seconds: float = 60.0) -> DataFrame:
     """(uri, status, content_type, body, sha256, error) of every safe URL; ``get`` (uri to status, type, body) is the caller's.
 
-    Each task fetches its own URLs one after the other; a failing URL gives an error row, larger
-    bodies are dropped with an error. Answers other than 2xx are errors, from 500 on marked as worth
+    The URLs are spread over tasks of about ``per_task``, each of which fetches its own one after the
+    other; so no more are fetched at once than there are cores. A failing URL gives an error row. A
+    body that comes in pieces is read no further than ``max_bytes`` and ``seconds`` allow; larger bodies
+    are dropped with an error. Answers other than 2xx are errors, from 500 on marked as worth
     another try.
     """
     allowed = [a.lower() for a in allowed]
@@ -72,6 +89,8 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]], allowed
     if allowed:
         rows = rows.where(F.lower(F.regexp_extract("uri", r"(?i)^https?://([^/:?#]+)", 1)).isin(allowed))
 
+    rows = rows.repartition(max(1, -(-rows.count() // per_task)))
+
     def run(batches):
         import pyarrow as pa
 
@@ -80,7 +99,8 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]], allowed
             for uri in batch.column(0).to_pylist():
                 try:
                     status, kind, body = get(uri)
-                    error = "too large" if len(body) > max_bytes else None if 200 <= status < 300 else f"status {status}" + (", try again" if status >= 500 else "")
+                    body = _bounded(body, max_bytes, time.monotonic() + seconds)
+                    error = "too large" if body is None else None if 200 <= status < 300 else f"status {status}" + (", try again" if status >= 500 else "")
                     out.append((uri, status, kind, body if error is None else None, error))
                 except Exception as e:  # one URL must not fail the task
                     out.append((uri, None, None, None, f"{type(e).__name__}: {e}"))
