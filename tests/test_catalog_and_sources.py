@@ -182,3 +182,24 @@ def test_writers_and_streams(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
         ingest.ingest_new(ingest.file_stream(spark, str(tmp_path / "docs"), "*.parquet", schema), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 4]
+
+
+def test_bodies_in_pieces_are_read_no_further_than_allowed(spark):
+    from textloom.sources import readers
+
+    def get(uri):
+        def pieces():
+            for k in range(10):
+                if k > 5:
+                    raise AssertionError("read too far")
+                yield b"x" * 100
+
+        return (200, "text/plain", pieces()) if uri.endswith("big") else (200, "text/plain", iter([b"a", b"b"])) if uri.endswith("small") else (200, "text/plain", b"whole")
+
+    urls = spark.createDataFrame([("https://a.example/big",), ("https://a.example/small",), ("https://a.example/plain",)], "uri string")
+    got = {r["uri"].rsplit("/", 1)[1]: r for r in readers.fetch(urls, get, max_bytes=450, per_task=1).collect()}
+    assert got["big"]["error"] == "too large" and got["big"]["body"] is None
+    assert bytes(got["small"]["body"]) == b"ab" and bytes(got["plain"]["body"]) == b"whole"
+    late = readers.fetch(urls.where("uri like '%small'"), get, seconds=-1.0).first()
+    assert late["error"].startswith("TimeoutError")
+    assert readers.fetch(urls.limit(0), get).count() == 0

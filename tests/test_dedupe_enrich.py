@@ -78,3 +78,20 @@ def test_enrichment(spark):
     assert [r[0] for r in t.select(enrich.taxonomy_tags(F.col("t"), {"colour": ["red"], "no": ["NONE"]})).collect()] == [["colour"], ["no"]]
     e = t.select(enrich.regex_tags(F.col("t"), {"y": r"20\d\d"}).alias("tags"), enrich.first_section(F.col("t"), [("b", "none")]).alias("s"), F.lit("en").alias("l"))
     assert enrich.enrich_stats(e, "l", "tags", "s").first().asDict() == {"enriched": 2, "tagged": 1, "with_section": 1, "tags": 2, "languages": {"en": 2}}
+
+
+def test_removal_of_long_chains_and_lists(spark):
+    from textloom.operators import dedupe
+
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(words[i : i + 100])) for i in range(90)]  # each is like the next few only
+    got = {r["id"]: r["is_kept"] for r in dedupe.jaccard(spark.createDataFrame(rows, "id int, t string"), "id", "t", 0.97).collect()}
+    kept, want = [], {}
+    sets = {i: set(t.split()) for i, t in rows}
+    for i in range(90):
+        want[i] = not any(len(sets[i] & sets[j]) >= 0.97 * len(sets[i] | sets[j]) - 1e-9 for j in kept)
+        if want[i]:
+            kept.append(i)
+    assert got == want and len(kept) > 40
+    marked = spark.createDataFrame([("a", "a", True), ("b", "a", False), ("c", "a", False), ("d", "a", False), ("e", "e", True)], "id string, kept_id string, is_kept boolean")
+    assert [tuple(r) for r in dedupe.removed_lists(marked, 2).collect()] == [("a", 3, ["b", "c"])] and dedupe.removed_lists(marked.limit(0)).count() == 0

@@ -57,3 +57,33 @@ def test_embedding_batches_and_profiles(spark):
         pipeline.embed_chunks(chunks, lambda ts: [], "m").collect()
     p = RetrievalProfile(top_k=5, filters=(("lang", "eq", "en"),))
     assert pipeline.profile_from_json(pipeline.profile_json(p)) == p
+
+
+def test_folders_are_read_by_one_scan(spark, tmp_path):
+    from textloom.operators.pipeline import source_texts
+
+    for name, n in (("one", 3), ("two", 2)):
+        (tmp_path / name / "sub").mkdir(parents=True)
+        for k in range(n):
+            (tmp_path / name / "sub" / f"{k}.txt").write_text(f"{name} {k}")
+    (tmp_path / "one" / "image.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "one" / "large.txt").write_text("x" * 2000)
+    (tmp_path / "doc.pdf").write_bytes(b"%PDF-1.4 " + b"words " * 20)
+    due = spark.createDataFrame([("a", "folder", str(tmp_path / "one")), ("b", "folder", str(tmp_path / "two")), ("c", "pdf", str(tmp_path / "doc.pdf")), ("d", "folder", str(tmp_path / "none")), ("e", "folder", str(tmp_path / "two"))], "source_id string, type string, uri string")
+    got = source_texts(due, lambda u: (404, "", b""), pdf_reader=lambda b: b.decode(), max_files=2, max_file_bytes=1000).collect()
+    rows = {(r["source_id"], r["part"]): (r["text"], r["error"]) for r in got}
+    assert rows["a", 0][0] == "one 0" and rows["b", 1][0] == "two 1" and rows["e", 0][0] == "two 0" and rows["c", 0][0].startswith("%PDF")
+    assert rows["d", 0] == (None, "no such path") and len(rows) == 8 and ("a", 2) not in rows
+    assert source_texts(due.where("source_id = 'd'"), lambda u: (404, "", b"")).count() == 1
+
+
+def test_traces_and_stats_of_projects(spark, tmp_path):
+    from textloom.operators import catalog, pipeline
+
+    rows = spark.createDataFrame([(i, "m" if i % 2 else "n", [float(i), 1.0]) for i in range(20)], "id int, model string, embedding array<float>")
+    hits, trace = pipeline.traced_search(rows, [1.0, 0.0], 3, [("model", "eq", "m")])
+    assert [(t["step"], t["name"], t["rows"]) for t in trace] == [(0, "collection", 20), (1, "filtered", 10), (2, "hits", 3)] and hits.count() == 3
+    assert pipeline.project_stats(spark, str(tmp_path / "nothing")).count() == 0
+    for name in ("x", "y"):
+        catalog.Project(spark, str(tmp_path), name).add_sources([{"type": "url", "uri": f"https://{name}/1"}])
+    assert {(r["project"], r["sources"], r["chunks"], r["builds"]) for r in pipeline.project_stats(spark, str(tmp_path)).collect()} == {("x", 1, 0, 1), ("y", 1, 0, 1)}

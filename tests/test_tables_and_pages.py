@@ -86,3 +86,16 @@ def test_shells_slices_and_pdf(spark):
     files = spark.createDataFrame([(bytearray(b"%PDF-1.4 x"),), (bytearray(b"hello"),), (None,)], "b binary")
     assert [r[0] for r in files.select(is_pdf(F.col("b"))).collect()] == [True, False, False]
     assert [r[0] for r in files.select(pdf_text(F.col("b"), lambda b: b.decode() * 20 if b.startswith(b"%PDF") else "short")).collect()] == ["%PDF-1.4 x" * 20, None, None]
+
+
+def test_captions_in_all_forms_and_safe_names(spark):
+    from textloom.functions import text as texts
+    from textloom.operators.tables import caption
+
+    rows = [("Table 2: Yields", "Table 2: Yields"), ("table 3 Yields of 2024", "Table 3: Yields of 2024"), ("x\nFigure 4", "Figure 4"), ("**Table 5. Bold**", "Table 5: Bold"), ("Table 1: far\na\nb\nc", None), ("Table 1: one\nTable 2", "Table 2"), ("Tables are 3", None), ("", None), (None, None)]
+    df = spark.createDataFrame(rows, "before string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", caption(F.col("before")).alias("got")).collect())
+    names = spark.createDataFrame([("abc-1", True, True, True), ("-abc", False, True, True), ("A_b", False, True, True), ("a/../b", False, False, False), ("/etc/passwd", False, False, False), ("", False, False, False), (None, False, False, False)], "n string, i boolean, t boolean, p boolean")
+    got = names.select("i", "t", "p", texts.safe_id(F.col("n")).alias("gi"), texts.safe_tag(F.col("n")).alias("gt"), texts.safe_path(F.col("n")).alias("gp")).collect()
+    assert all((r["i"], r["t"], r["p"]) == (r["gi"], r["gt"], r["gp"]) for r in got)
+    assert names.select(F.length(texts.random_id()).alias("n")).first()["n"] == 36

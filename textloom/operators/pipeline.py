@@ -48,8 +48,10 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], Sequence[Sequen
 def source_texts(due: DataFrame, get: Get, pdf_reader: Callable[[bytes], str] | None = None, max_pages: int = 100, max_files: int = 500, max_file_bytes: int = 5 * 1024 * 1024, min_page_chars: int = 100) -> DataFrame:
     """(source_id, part, text, error) of sources (source_id, type, uri) of the types url, sitemap, pdf, folder and text.
 
-    Pages of a site map with fewer than ``min_page_chars`` are dropped; folders are read by one scan
-    each (sources that are due are few); a source of type text is its uri's file or page.
+    Pages of a site map with fewer than ``min_page_chars`` are dropped; all folders and PDF files are
+    read by one scan, whose files meet their sources on the folders above them; of a folder the first
+    ``max_files`` text files count, of a PDF source the first file. A source of type text is its uri's
+    page.
     """
     spark = due.sparkSession
     due = due.where(F.col("source_id").isNotNull() & F.col("uri").isNotNull()).select("source_id", "type", "uri")
@@ -66,21 +68,19 @@ def source_texts(due: DataFrame, get: Get, pdf_reader: Callable[[bytes], str] |
     below = fetched(urls).where(F.length("text") >= min_page_chars).select("source_id", "part", "text", F.lit(None).cast("string").alias("error"))
     failed = listed.where(F.col("error").isNotNull() | F.col("xml").isNull()).select("source_id", F.lit(0).alias("part"), F.lit(None).cast("string").alias("text"), F.coalesce("error", F.lit("not fetched")).alias("error"))
     out = out.unionByName(below).unionByName(failed)
-    for r in due.where(F.col("type").isin("folder", "pdf")).select("source_id", "type", "uri").collect():  # at most as many as a build takes
-        try:
-            files = readers.folder(spark, r["uri"], max_bytes=max_file_bytes if r["type"] == "folder" else None)
-        except Exception as e:
-            out = out.unionByName(spark.createDataFrame([(r["source_id"], 0, None, str(e).split("\n")[0])], "source_id string, part int, text string, error string"))
-            continue
-        if r["type"] == "folder":
-            plain = files.where(F.col("content_type").startswith("text/") | F.col("content_type").isin("application/json", "application/xml")).orderBy("uri").limit(max_files)
-            text = F.decode("content", "UTF-8")
-        else:
-            plain = files.limit(1)
-            text = pdf_text(F.col("content"), pdf_reader) if pdf_reader else F.lit(None).cast("string")
-        numbered = plain.withColumn("part", F.row_number().over(W.orderBy("uri")) - 1)  # at most max_files rows
-        out = out.unionByName(numbered.select(F.lit(r["source_id"]).alias("source_id"), "part", text.alias("text"), F.when(text.isNull(), "no text").alias("error")))
-    return out
+    stored = due.where(F.col("type").isin("folder", "pdf"))
+    roots = readers.existing(spark, [r["uri"] for r in stored.select("uri").distinct().collect()])  # a reader takes its paths from the driver
+    rooted = spark.createDataFrame(list(roots.items()), "uri string, root string")
+    lost = stored.join(rooted, "uri", "left_anti").select("source_id", F.lit(0).alias("part"), F.lit(None).cast("string").alias("text"), F.lit("no such path").alias("error"))
+    if not roots:
+        return out.unionByName(lost)
+    files = readers.below(spark, list(roots.values())).join(rooted, "root").join(stored, "uri").where((F.col("type") == "pdf") | (F.col("size_bytes") <= max_file_bytes))
+    plain = F.col("content_type").startswith("text/") | F.col("content_type").isin("application/json", "application/xml")
+    files = files.where((F.col("type") == "pdf") | plain)
+    numbered = files.withColumn("part", F.row_number().over(W.partitionBy("source_id").orderBy("file")) - 1).where(F.col("part") < F.when(F.col("type") == "pdf", 1).otherwise(max_files))
+    pdf = pdf_text(F.col("content"), pdf_reader) if pdf_reader else F.lit(None).cast("string")
+    read = numbered.withColumn("text", F.when(F.col("type") == "pdf", pdf).otherwise(F.decode("content", "UTF-8")))
+    return out.unionByName(lost).unionByName(read.select("source_id", "part", "text", F.when(F.col("text").isNull(), "no text").alias("error")))
 
 
 def run_pipeline(documents: DataFrame, embed: Callable[[list[str]], Sequence[Sequence[float]]] | None = None, cfg: ChunkConfig = ChunkConfig(), model: str = "local", dim: int = 384, near: float | None = None) -> dict[str, DataFrame]:

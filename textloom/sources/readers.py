@@ -31,6 +31,27 @@ def folder(spark: SparkSession, path: str, glob: str = "*", exclude: Iterable[st
     return files.select(F.col("path").alias("uri"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), type_of_extension(ext).alias("content_type"), "content")
 
 
+def existing(spark: SparkSession, paths: Iterable[str]) -> dict[str, str]:
+    """The paths that exist, each with its full form."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            out[path] = fs.getFileStatus(p).getPath().toUri().getPath()
+    return out
+
+
+def below(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(root, file, size_bytes, content_type, content): all files of several folders (or single files), by one scan."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    parts = F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    ext = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1)
+    named = files.select(F.explode(above).alias("root"), F.col("path").alias("file"), F.col("length").alias("size_bytes"), type_of_extension(ext).alias("content_type"), "content")
+    return named.where(F.col("root").isin(roots))
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(uri, size_bytes) of the files in one folder, in order; contents aren't read."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), F.col("length").alias("size_bytes")).orderBy("uri")

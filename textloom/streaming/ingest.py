@@ -25,8 +25,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def ingest_new(documents: DataFrame, target: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Append documents whose normalised content the target doesn't hold yet, batch by batch, exactly once per content.
 
-    Each micro-batch drops repeats within itself (the least id stays) and what is stored already. A
-    batch that is run again after a failure overwrites its own part of the target.
+    Each micro-batch drops repeats within itself (the least id stays) and what is stored already. The
+    hashes that are stored lie beside the texts, by their first two digits, and a batch reads the
+    hashes of the prefixes it has itself, and no texts. A batch that is run again after a failure
+    overwrites its own part of the target.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
@@ -34,13 +36,18 @@ def ingest_new(documents: DataFrame, target: str, checkpoint: str, id_col: str =
         rows = batch.where(F.col(text_col).isNotNull()).withColumn("content_hash", short_hash(normalize_text(F.col(text_col)), 64))
         least = rows.groupBy("content_hash").agg(F.min(id_col).alias(id_col))
         new = rows.join(least, ["content_hash", id_col], "left_semi").dropDuplicates(["content_hash"])
+        prefix = F.left("content_hash", F.lit(2))
         try:
-            old = spark.read.parquet(target).where(F.col("batch") != number).select("content_hash").distinct()
+            seen = spark.read.schema("content_hash string, batch int, prefix string").parquet(f"{target}-hashes")
+            wanted = [r[0] for r in new.select(prefix).distinct().collect()]  # at most 256
+            old = seen.where(F.col("prefix").isin(wanted) & (F.col("batch") != number)).select("content_hash")
             new = new.join(old, "content_hash", "left_anti")
         except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        stored = spark.read.parquet(f"{target}/batch={number}").select("content_hash", prefix.alias("prefix"))
+        stored.write.mode("overwrite").partitionBy("prefix").parquet(f"{target}-hashes/batch={number}")
 
     documents.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
