@@ -128,11 +128,15 @@ def search_list(ids: np.ndarray, x: np.ndarray, ends: np.ndarray, here: int, set
     ``side`` tells two neighbouring windows of a long list apart; pairs within the second (side 1) are left to its own task.
     """
     out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    rough = x.astype(np.float32)  # its error is below 1e-5; what is near the limit is decided in double precision
     for a, b, met in collisions(ends, here, settled):
         keep = (met >= need - 1) & ((side[a] == 0) | (side[b] == 0))
         a, b = a[keep], b[keep]
         for i in range(0, len(a), 50_000):
             p, q = a[i : i + 50_000], b[i : i + 50_000]
+            if least > -1:
+                near = np.einsum("ij,ij->i", rough[p], rough[q]) >= least - 1e-4
+                p, q = p[near], q[near]
             sims = np.einsum("ij,ij->i", x[p], x[q])
             keep = sims >= least
             out.append((p[keep], q[keep], sims[keep]))
