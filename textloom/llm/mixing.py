@@ -20,7 +20,7 @@ def flight(probabilities: np.ndarray, sizes: np.ndarray, seed: int, spare: int =
     Three undecided units at a time are moved along the null space of the two constraints (the
     vector orthogonal to the ones and to the sizes), up or down with the probabilities that keep the
     expectation, until one of them is decided. At most two units stay undecided, besides the
-    ``spare`` ones of middling size, which are left alone for the landing.
+    ``spare`` ones of sizes from the greatest to the least, which are left alone for the landing.
     """
     p = probabilities.astype(float).copy()
     rng = np.random.default_rng(seed)
@@ -28,8 +28,8 @@ def flight(probabilities: np.ndarray, sizes: np.ndarray, seed: int, spare: int =
     active: list[int] = []
     order = np.flatnonzero((p > _TINY) & (p < 1 - _TINY))
     order = order[np.argsort(-sizes[order], kind="stable")]
-    low = max(0, (len(order) - spare) // 2)
-    for k in np.concatenate((order[:low], order[low + spare :])):
+    spared = order[np.unique(np.linspace(0, len(order) - 1, spare).astype(int))] if spare and len(order) else order[:0]
+    for k in order[~np.isin(order, spared)]:
         active.append(int(k))
         if len(active) < 3:
             continue
@@ -79,18 +79,16 @@ def tilted(ways: np.ndarray, p: np.ndarray, rounds: int = 60) -> tuple[np.ndarra
     return w, float(np.abs(w @ ways - p).max())
 
 
-def land(probabilities: np.ndarray, sizes: np.ndarray, seed: int, few: int = 18) -> np.ndarray:
-    """Decide all units, with their probabilities: the size-weighted sum ends near the given one.
+def settle_large(probabilities: np.ndarray, sizes: np.ndarray, seed: int, few: int = 18) -> np.ndarray:
+    """Decide the units larger than three times the median, the largest first.
 
-    Units larger than three times the median go first, each along the direction in which all smaller
-    ones make up for it; then the others are flown but for ``few`` of sizes from the least to the greatest. Of all ways to decide what is left, those
-    are allowed that come nearest to the wanted sum, as few as can be without changing any unit's
-    probability by more than 0.02; one of them is drawn (if there are none, each unit by itself). So large units are taken as often as small
-    ones of equal probability, and the sum is missed only as far as fairness needs.
+    Each is moved up or down, with the probabilities that keep its expectation, while all smaller
+    units together move the other way, so the size-weighted sum stays. Where there are hardly more
+    units than ``few``, none is large.
     """
     p = probabilities.astype(float).copy()
-    rng = np.random.default_rng(seed + 1)
-    open_ = np.flatnonzero((p > 0) & (p < 1))
+    rng = np.random.default_rng(seed)
+    open_ = np.flatnonzero((p > _TINY) & (p < 1 - _TINY))
     large = open_[sizes[open_] > 3 * np.median(sizes[open_])] if len(open_) > few else open_[:0]
     for k in large[np.argsort(-sizes[large], kind="stable")]:
         for _ in range(50):
@@ -103,6 +101,19 @@ def land(probabilities: np.ndarray, sizes: np.ndarray, seed: int, few: int = 18)
             down = np.where(u > 0, p[at] / u, (1 - p[at]) / -u).min()
             p[at] += up * u if rng.random() * (up + down) < down else -down * u
             p[at] = np.where(p[at] < _TINY, 0.0, np.where(p[at] > 1 - _TINY, 1.0, p[at]))
+    return p
+
+
+def land(probabilities: np.ndarray, sizes: np.ndarray, seed: int, few: int = 18) -> np.ndarray:
+    """Decide all units, with their probabilities: the size-weighted sum ends near the given one.
+
+    Units larger than three times the median go first, each along the direction in which all smaller
+    ones make up for it; then the others are flown but for ``few`` of sizes from the least to the greatest. Of all ways to decide what is left, those
+    are allowed that come nearest to the wanted sum, as few as can be without changing any unit's
+    probability by more than 0.02; one of them is drawn (if there are none, each unit by itself). So large units are taken as often as small
+    ones of equal probability, and the sum is missed only as far as fairness needs.
+    """
+    p, rng = settle_large(probabilities, sizes, seed + 2, few), np.random.default_rng(seed + 1)
     rest = np.flatnonzero((p > 0) & (p < 1))
     rest = rest[np.argsort(sizes[rest], kind="stable")]
     spared = rest[np.unique(np.linspace(0, len(rest) - 1, few).astype(int))] if len(rest) > few else rest
@@ -157,7 +168,8 @@ def _fly(fractions: dict[str, float]):
                 waiting.setdefault(row[1], []).append((*row, fractions[row[1]]))
             decided = []
             for source, rows in waiting.items():
-                p = flight(np.array([r[5] for r in rows]), np.array([r[2] for r in rows], float), seed=len(rows) * 31 + rows[0][4] % 1009, spare=16)
+                n, seed = np.array([r[2] for r in rows], float), len(rows) * 31 + rows[0][4] % 1009
+                p = flight(settle_large(np.array([r[5] for r in rows]), n, seed + 1), n, seed, spare=16)
                 decided += [(*r[:5], float(x)) for r, x in zip(rows, p) if x in (0.0, 1.0)]
                 waiting[source] = [(*r[:5], float(x)) for r, x in zip(rows, p) if x not in (0.0, 1.0)]
             yield _batch(decided, batch.schema)
@@ -177,7 +189,7 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
 def _finish(land_all: bool):
     def run(rows: pa.Table) -> pa.Table:
         p, n = rows["p"].to_numpy(), rows["n_tokens"].to_numpy().astype(float)
-        p = land(p, n, seed=rows.num_rows) if land_all else flight(p, n, seed=rows.num_rows, spare=16)
+        p = land(p, n, seed=rows.num_rows) if land_all else flight(settle_large(p, n, rows.num_rows + 1), n, seed=rows.num_rows, spare=16)
         return rows.drop_columns(["p"]).append_column("p", pa.array(p))
 
     return run
