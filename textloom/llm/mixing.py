@@ -87,7 +87,7 @@ def settle_large(probabilities: np.ndarray, sizes: np.ndarray, seed: int, few: i
     units than ``few``, none is large.
     """
     p = probabilities.astype(float).copy()
-    rng = np.random.default_rng(seed)
+    rng = np.random.default_rng([seed, 2])
     open_ = np.flatnonzero((p > _TINY) & (p < 1 - _TINY))
     large = open_[sizes[open_] > 3 * np.median(sizes[open_])] if len(open_) > few else open_[:0]
     for k in large[np.argsort(-sizes[large], kind="stable")]:
@@ -113,7 +113,7 @@ def land(probabilities: np.ndarray, sizes: np.ndarray, seed: int, few: int = 18)
     probability by more than 0.02; one of them is drawn (if there are none, each unit by itself). So large units are taken as often as small
     ones of equal probability, and the sum is missed only as far as fairness needs.
     """
-    p, rng = settle_large(probabilities, sizes, seed + 2, few), np.random.default_rng(seed + 1)
+    p, rng = settle_large(probabilities, sizes, seed, few), np.random.default_rng([seed, 1])
     rest = np.flatnonzero((p > 0) & (p < 1))
     rest = rest[np.argsort(sizes[rest], kind="stable")]
     spared = rest[np.unique(np.linspace(0, len(rest) - 1, few).astype(int))] if len(rest) > few else rest
@@ -169,7 +169,7 @@ def _fly(fractions: dict[str, float]):
             decided = []
             for source, rows in waiting.items():
                 n, seed = np.array([r[2] for r in rows], float), len(rows) * 31 + rows[0][4] % 1009
-                p = flight(settle_large(np.array([r[5] for r in rows]), n, seed + 1), n, seed, spare=16)
+                p = flight(settle_large(np.array([r[5] for r in rows]), n, seed), n, seed, spare=16)
                 decided += [(*r[:5], float(x)) for r, x in zip(rows, p) if x in (0.0, 1.0)]
                 waiting[source] = [(*r[:5], float(x)) for r, x in zip(rows, p) if x not in (0.0, 1.0)]
             yield _batch(decided, batch.schema)
@@ -189,7 +189,7 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
 def _finish(land_all: bool):
     def run(rows: pa.Table) -> pa.Table:
         p, n = rows["p"].to_numpy(), rows["n_tokens"].to_numpy().astype(float)
-        p = land(p, n, seed=rows.num_rows) if land_all else flight(settle_large(p, n, rows.num_rows + 1), n, seed=rows.num_rows, spare=16)
+        p = land(p, n, seed=rows.num_rows) if land_all else flight(settle_large(p, n, rows.num_rows), n, seed=rows.num_rows, spare=16)
         return rows.drop_columns(["p"]).append_column("p", pa.array(p))
 
     return run
