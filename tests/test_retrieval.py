@@ -130,3 +130,43 @@ def test_classification(spark):
     by = {r["q"]: r["c"] for r in got}
     assert by["call parse_rows() twice"]["mode"] == "keyword" and by["hello"]["top_k"] is None and by["How do I install the scorer?"]["subtype"] is None
     assert spark.createDataFrame([(None,)], "q string").select(classify(F.col("q"), F.lit("farming"))["confidence"]).first()[0] == 0.75
+
+
+def test_stored_collections_are_built_again_once_cleared(spark):
+    from pathlib import Path
+
+    import pytest
+
+    from textloom.plans import search
+    from textloom.runtime import clear
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test data")
+    one = search.rows(spark, folder)
+    assert search.rows(spark, folder) is one
+    n = one.count()
+    clear(spark)
+    assert search.rows(spark, folder).count() == n
+
+
+def test_many_queries_equal_brute_force(spark):
+    import random
+    import re
+
+    from textloom.operators import retrieval
+
+    rng = random.Random(3)
+    words = ["the", "of", "and"] + [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(rng.choices(words, [40, 30, 20] + [1] * 60, k=n))
+    docs = [(i, text(rng.randint(1, 30))) for i in range(300)] + [(900, None), (901, ""), (902, "lonely")]
+    asked = [(f"q{i}", text(rng.randint(1, 8))) for i in range(40)] + [("none", None), ("odd", "zzz unknown"), ("empty", " .. "), ("one", "Lonely, THE unknown")]
+    tokens = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    want = set()
+    for q, t in asked:
+        qs = tokens(t) if t else set()
+        hits = sorted((-round(len(qs & tokens(d)) / len(qs), 9), i) for i, d in docs if d and qs & tokens(d)) if qs else []
+        want |= {(q, i, -s, r + 1) for r, (s, i) in enumerate(hits[:5])}
+    got = retrieval.search_many(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(asked, "query_id string, query string"), 5)
+    assert {tuple(r) for r in got.collect()} == want
+    assert retrieval.search_many(spark.createDataFrame([], "id int, text string"), spark.createDataFrame(asked, "query_id string, query string")).count() == 0

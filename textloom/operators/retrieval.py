@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textloom.functions.vectors import cosine
 from textloom.operators.ranking import ranked_by_ranges
+from textloom.runtime import durable
 from textloom.schema import RetrievalProfile
 
 RRF_K = 60
@@ -196,18 +197,42 @@ def serve(df: DataFrame, query: str | None = None, query_vector: Sequence[float]
 
 
 def search_many(df: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank): share of terms for many queries (query_id, query) in one pass.
+    """(query_id, id, score, rank): share of terms for many queries (query_id, query), exact, ties by id.
 
-    Texts and queries meet on their tokens (runs of letters and digits), so only pairs that share
-    one are scored; the score is the share of the query's distinct tokens. Partial counts combine
-    before the shuffle, and each task ranks before the last one.
+    Texts and queries meet on their tokens (runs of letters and digits, lower case); the score is the
+    share of the query's distinct tokens that the text has. Null texts and queries give no row, as do
+    texts that share no token.
+
+    A text with at least L of the m tokens of a query that occur at all has one of the m - L + 1
+    rarest of them. So the texts that have the rarest tokens are scored first, as many tokens as give
+    a few times k texts; the k-th of them gives L, and then only texts with one of so many rare tokens
+    are scored. Frequent tokens, which nearly all texts have, are thus hardly ever joined.
     """
-    token = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
-    q = queries.where(F.col("query").isNotNull()).select("query_id", token(F.col("query")).alias("q")).select("query_id", F.size("q").alias("n"), F.explode("q").alias("token"))
-    t = df.where(F.col("text").isNotNull()).select("id", F.explode(token(F.col("text"))).alias("token"))
-    scored = t.join(q, "token").groupBy("query_id", "id").agg(F.round(F.count("*") / F.first("n"), DIGITS).alias("score"))
+    token = lambda c: F.array_distinct(F.transform(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t)))
+    asked = durable(queries.where(F.col("query").isNotNull()).select("query_id", token(F.col("query")).alias("q")).where(F.size("q") > 0), "search-queries")
+    docs = durable(df.where(F.col("text").isNotNull()).select("id", token(F.col("text")).alias("d")), "search-texts")
+    wanted = asked.select(F.explode("q").alias("token")).distinct()
+    posts = durable(docs.select("id", F.explode("d").alias("token")).join(wanted, "token", "left_semi"), "search-postings")
+    often = posts.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = durable(
+        asked.select("query_id", F.explode("q").alias("token")).join(often, "token").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rare")).join(asked, "query_id"), "search-ranked"
+    )  # the tokens of one query
+
+    def scored(prefix: DataFrame) -> DataFrame:
+        """(query_id, id, n, met) of all texts that have one of the tokens of ``prefix`` (query_id, token)."""
+        pairs = posts.join(prefix, "token").select("query_id", "id").distinct()
+        met = pairs.join(docs, "id").join(asked, "query_id")
+        return met.select("query_id", "id", F.size("q").alias("n"), F.size(F.array_intersect("d", "q")).alias("met"))
+
+    enough = F.aggregate("rare", F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("sum")), lambda a, t: F.when(a["sum"] >= 3 * k, a).otherwise(F.struct((a["at"] + 1).alias("at"), (a["sum"] + t["df"]).alias("sum"))), lambda a: a["at"])
+    first = scored(ranked.select("query_id", F.explode(F.slice("rare", F.lit(1), enough)).alias("t")).select("query_id", "t.token"))
+    by_met = W.partitionBy("query_id").orderBy(F.desc("met"), "id")
+    least = first.withColumn("place", F.row_number().over(by_met)).where(F.col("place") == k).select("query_id", F.col("met").alias("least"))
+    length = F.size("rare") - F.coalesce("least", F.lit(1)) + 1
+    second = ranked.join(least, "query_id", "left").select("query_id", F.explode(F.slice("rare", F.lit(1), F.greatest(length, F.lit(1)))).alias("t")).select("query_id", "t.token")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    hits = scored(durable(second, "search-prefixes")).select("query_id", "id", F.round(F.col("met") / F.col("n"), DIGITS).alias("score"))
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def with_sources(hits: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:

@@ -42,7 +42,11 @@ def rows(spark, sf_dir):
 
     key = (spark.sparkContext.applicationId, str(sf_dir))
     now = stamp("chunk_records"), stamp("vector_records")
-    if _STORED.get(key, (None,))[0] != now:
+    stored = _STORED.get(key)
+    if stored:  # it may have been cleared away
+        at = jvm.org.apache.hadoop.fs.Path(stored[1]._textloom_path)
+        stored = stored if at.getFileSystem(conf).exists(at) else None
+    if not stored or stored[0] != now:
         _STORED[key] = now, durable(collected(spark, sf_dir), "collection")
     return _STORED[key][1]
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _OWN_DIR: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _OWN_DIR:
         _OWN_DIR[sc.applicationId] = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, _OWN_DIR[sc.applicationId], ignore_errors=True)
     return _OWN_DIR[sc.applicationId]
 
 
@@ -56,12 +59,19 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
     return out
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that durable() has made in this application's shared folder; for a driver that lives long, between queries whose results are no longer read."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        _remove(spark, path)
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables made by durable() that nothing will read again."""
     for t in tables:
