@@ -184,6 +184,17 @@ def test_writers_and_streams(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 4]
 
 
+def test_ingest_of_a_table_of_several_files(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tests.oracle import difference
+
+    table = tmp_path / "documents.parquet"
+    for rows in ([(5, "a"), (6, "b"), (None, "e")], [(2, "a"), (9, "b\r\nb")], [(3, "a"), (4, "b\nb"), (7, None), (8, "e")]):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(str(table))
+    got = entry.queries()["ingest_stream"](spark, str(tmp_path))
+    assert difference(got, entry.oracle_sql()["ingest_stream"], str(tmp_path)) == ""
+
+
 def test_bodies_in_pieces_are_read_no_further_than_allowed(spark):
     from textloom.sources import readers
 

@@ -172,7 +172,7 @@ def ingest_stream(spark, sf_dir):
     base = f"{shared_dir(spark)}/textloom/ingest-{uuid.uuid4().hex}"
     docs = ingest.file_stream(spark, sf_dir, "documents.parquet", table(spark, sf_dir, "documents").schema)
     ingest.ingest_new(docs.select("doc_id", "text"), f"{base}/out", f"{base}/state")
-    return durable(spark.read.parquet(f"{base}/out").select("doc_id", "content_hash"), "ingested")
+    return durable(ingest.ingested(spark, f"{base}/out", kind=docs.schema["doc_id"].dataType.simpleString()), "ingested")
 
 
 def _folder(spark, name: str) -> str:
