@@ -46,6 +46,25 @@ def test_jaccard_within_a_large_group_of_near_copies(spark):
     assert got.where("is_kept").count() == 1 and got.where("kept_id = 0").count() == 400
 
 
+def test_jaccard_stores_no_tokens_but_prefixes(spark, monkeypatch):
+    random.seed(5)
+    rows = [(i, " ".join(random.sample([f"w{j}" for j in range(3000)], 200))) for i in range(300)]
+    rows += [(300 + i, t + " more") for i, (_, t) in enumerate(rows[:20])]
+    stored = []
+
+    def durable(df, name="step"):
+        out = kept(df, name)
+        stored.append(sum(v or 0 for v in out.select(*[(F.size(c) if d.startswith("array") else F.lit(1)).alias(c) for c, d in df.dtypes]).groupBy().sum().first()))
+        return out
+
+    kept = dedupe.durable
+    monkeypatch.setattr(dedupe, "durable", durable)
+    for known in (10, 1_000_000):
+        got = dedupe.jaccard(spark.createDataFrame(rows, "id int, t string"), "id", "t", known_tokens=known)
+        assert {r["id"]: r["kept_id"] for r in got.collect() if not r["is_kept"]} == {300 + i: i for i in range(20)}
+    assert max(stored) < 320 * 200 / 2
+
+
 def test_minhash_groups(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(reversed(words))), (4, "too few words"), (5, None), (6, " ".join(words))]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from textloom.functions.shingles import MULT, WordHashes, mix, permutations, shingle_hashes, signature
 from textloom.operators.components import connected_components
-from textloom.runtime import durable, release
+from textloom.runtime import durable, release, split_join
 
 
 def exact(df: DataFrame, id_col: str, text_col: str, scope: str | None = None) -> DataFrame:
@@ -40,48 +40,106 @@ def report(marked: DataFrame) -> DataFrame:
     return gone.groupBy("kept_id").agg(F.count("*").alias("n_removed"), F.min("id").alias("first_removed"), F.max("id").alias("last_removed"))
 
 
-def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95, scope: str | None = None) -> DataFrame:
+def _prefixes(threshold: float, known: np.ndarray, df: np.ndarray, complete: bool):
+    """(set, n, m0, m1, prefix) of sets of token hashes: size, parities of the tokens over 128 buckets, and the first tokens, with their places, by frequency in the sorted ``known`` (others first), then by hash."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            offsets = column.offsets.to_numpy()
+            flat, offsets = column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+            n = np.diff(offsets)
+            row = np.repeat(np.arange(len(n)), n)
+            count = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                count = np.where(known[at] == flat, df[at], 0)
+            order = np.lexsort((flat, count, row))  # rows stay where they are
+            place = np.arange(len(flat)) - np.repeat(offsets[:-1], n)
+            first = place < np.repeat(n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1, n)
+            if complete:  # what isn't known has no other set
+                first &= count[order] > 0
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=len(n))))).astype(np.int32)
+            posts = pa.StructArray.from_arrays([pa.array(flat[order][first]), pa.array(place[first].astype(np.int32))], names=["token", "place"])
+            bucket = (mix(flat.view(np.uint64)) & np.uint64(127)).astype(np.int64)
+            odd = (np.bincount(row * 128 + bucket, minlength=len(n) * 128) & 1).astype(np.uint8).reshape(len(n), 128)
+            bits = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.ListArray.from_arrays(ends, posts)], names=["set", "n", "m0", "m1", "prefix"])
+
+    return run
+
+
+def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95, scope: str | None = None, known_tokens: int = 1_000_000) -> DataFrame:
     """(id, kept_id, is_kept, n_links): greedy removal of near-duplicates by token sets, in the order of ids.
 
     Tokens are runs between white space, lower case. A row is removed if it is at least ``threshold``
     similar (Jaccard) to an earlier row that is kept; ``kept_id`` is the earliest such row of those it
     was compared with. With ``scope`` (a column) only rows of one scope are compared. ``n_links``
     counts the links found to other sets. Null or blank texts and null ids are left out; repeated ids
-    count once.
+    count once. Tokens are compared by 64-bit hashes.
 
     Candidates come from an exact prefix filter: with the tokens of a set in order of rarity, two
-    sets that similar share one of their first (1 - threshold) of tokens. Equal sets count as one
-    row, and what rows that are surely kept remove is compared no further, so groups of copies and
-    near-copies give about one pair a row. The greedy order is resolved in rounds: a row none of
-    whose earlier links is undecided or kept is kept. Every round decides at least the first of what
-    is undecided, so the rounds end, after as many as the longest chain of rows that depend on each other.
+    sets that similar share one of their first (1 - threshold) of tokens. Any order will do, if it is
+    one for all: the frequencies of the most frequent tokens, at most ``known_tokens`` of them, are
+    counted over all rows, the others come before these, by hash. Only prefixes are posted; sets and
+    texts are read again for pairs that may be similar by their sizes, by the places of the shared
+    token and by the parities of their tokens over 128 buckets, which differ in no more buckets than
+    the sets do in tokens. None of this loses a pair.
+
+    Equal sets count as one row, and what rows that are surely kept remove is compared no further, so
+    groups of copies and near-copies give about one pair a row. The greedy order is resolved in
+    rounds: a row none of whose earlier links is undecided or kept is kept. Every round decides at
+    least the first of what is undecided, so the rounds end, after as many as the longest chain of
+    rows that depend on each other.
     """
-    token = F.array_distinct(F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda t: t != ""))
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.first(token).alias("tokens"), *([F.first(scope).alias("scope")] if scope else [])).where(F.size("tokens") > 0)
-    in_scope = F.xxhash64("scope") if scope else F.lit(0).cast("bigint")
-    rows = durable(rows.withColumn("k", in_scope).withColumn("set", F.xxhash64(F.array_sort("tokens"), "k")), "jaccard-rows")
-    sets = durable(rows.groupBy("set").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("k").alias("k")), "jaccard-sets")
-    posts = sets.select("set", "id", "k", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df_ = posts.groupBy("k", "token").agg(F.count("*").alias("df"))
-    rare = posts.join(df_, ["k", "token"]).groupBy("set", "id", "k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("sorted"))
-    prefix = rare.select("set", "id", "k", "n", F.explode(F.slice("sorted", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("t")).where("t.df > 1").select("set", "id", "k", "n", F.col("t.token").alias("token"))
-    prefix = durable(prefix, "jaccard-postings")
-    x, y = sets.select(F.col("set").alias("u"), F.col("id").alias("uid"), F.col("tokens").alias("ut")), sets.select(F.col("set").alias("v"), F.col("id").alias("vid"), F.col("tokens").alias("vt"))
-    both = F.size(F.array_intersect("ut", "vt"))
+
+    def sets_of(rows: DataFrame, *more: str) -> DataFrame:
+        words = F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")
+        return rows.select("id", F.array_sort(F.array_distinct(F.transform(words, lambda t: F.xxhash64(t, "k")))).alias("tokens"), *more).withColumn("set", F.xxhash64("tokens"))
+
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.xxhash64(scope) if scope else F.lit(0).cast("bigint")).alias("k")).where(F.col("text").rlike(r"\S"))  # a filter on the tokens would compute them twice
+    marked = durable(sets_of(rows).select("id", "set", F.size("tokens").alias("n")), "jaccard-rows")
+    members = durable(marked.groupBy("id").agg(F.min("set").alias("set")), "jaccard-members")
+    sets = durable(members.groupBy("set").agg(F.min("id").alias("id")), "jaccard-sets")
+    least = max(2, -(-(marked.agg(F.sum("n")).first()[0] or 0) // known_tokens))
+    counted = sets_of(rows).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least).toArrow()
+    known, often = counted.column("token").to_numpy(), counted.column("df").to_numpy()
+    order = np.argsort(known)
+    cut = sets_of(rows).select("set", "tokens").mapInArrow(_prefixes(threshold, known[order], often[order], least == 2), "set bigint, n int, m0 bigint, m1 bigint, prefix array<struct<token: bigint, place: int>>")
+    cut = cut.groupBy("set").agg(F.first("n").alias("n"), F.first("m0").alias("m0"), F.first("m1").alias("m1"), F.first("prefix").alias("prefix"))
+    prefix = durable(sets.join(cut, "set").select("set", "id", "n", "m0", "m1", F.explode("prefix").alias("t")).select("set", "id", "n", "m0", "m1", "t.token", "t.place"), "jaccard-postings")
+
+    def near_enough(a: str, b: str) -> str:
+        """Exact: what two sets of these sizes and parities must meet to be similar enough."""
+        most = f"({a}n + {b}n) * {(1 - threshold) / (1 + threshold)!r} + 1e-6"
+        return f"least({a}n, {b}n) >= {threshold} * greatest({a}n, {b}n) - 1e-9 and bit_count({a}m0 ^ {b}m0) + bit_count({a}m1 ^ {b}m1) <= {most}"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(x, "u").join(y, "v").where(both >= threshold * (F.size("ut") + F.size("vt") - both) - 1e-9).select("u", "v", "uid", "vid")
+        pairs = durable(pairs.distinct(), "jaccard-pairs")
+        needed = pairs.select(F.col("u").alias("wanted"), F.col("uid").alias("id")).union(pairs.select("v", "vid")).distinct()
+        texts = durable(rows.join(needed, "id"), "jaccard-texts")  # else the tokens of all rows would be computed for the join
+        lead = durable(sets_of(texts, "wanted").where("set = wanted").dropDuplicates(["set"]).select("set", "tokens"), "jaccard-tokens")
+        x, y = lead.select(F.col("set").alias("u"), F.col("tokens").alias("ut")), lead.select(F.col("set").alias("v"), F.col("tokens").alias("vt"))
+        both = F.size(F.array_intersect("ut", "vt"))
+        out = durable(split_join(pairs, x, "u").join(y, "v").where(both >= threshold * (F.size("ut") + F.size("vt") - both) - 1e-9).select("u", "v", "uid", "vid"), "jaccard-links")
+        release(pairs, texts, lead)
+        return out
 
     # first what is surely kept: the rows that come first in each of their postings; what they remove is compared no further
-    firsts = prefix.groupBy("k", "token").agg(F.min("id").alias("first"))
-    placed = prefix.join(firsts, ["k", "token"])
-    sure = placed.groupBy("set", "id").agg(F.max(F.col("id") != F.col("first")).alias("other")).where("not other").select(F.col("set").alias("u"), F.col("id").alias("uid"))
-    star = durable(verified(placed.where("id != first").select(F.col("first").alias("uid"), F.col("set").alias("v")).join(sure, "uid").select("u", "v")), "jaccard-links")
-    rest = prefix.join(star.select(F.col("v").alias("set")).distinct(), "set", "left_anti")
+    firsts = durable(prefix.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first != last").select("token", "first", "size"), "jaccard-firsts")
+    placed = durable(split_join(prefix, firsts, "token", weight="size"), "jaccard-placed")
+    release(prefix)
+    sure = placed.groupBy("set", "id", "n", "m0", "m1").agg(F.max(F.col("id") != F.col("first")).alias("other")).where("not other").drop("other")
+    a, b = sure.alias("a"), placed.where("id != first").select("set", "id", "n", "m0", "m1", "first").distinct().alias("b")
+    star = verified(a.join(b, F.expr(f"a.id = b.first and {near_enough('a.', 'b.')}")).select(F.col("a.set").alias("u"), F.col("b.set").alias("v"), F.col("a.id").alias("uid"), F.col("b.id").alias("vid")))
+    rest = placed.drop("first").join(star.select(F.col("v").alias("set")).distinct(), "set", "left_anti")
     a, b = rest.alias("a"), rest.alias("b")
-    near = a.join(b, F.expr(f"a.k = b.k and a.token = b.token and a.id < b.id and least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) - 1e-9")).select(F.col("a.set").alias("u"), F.col("b.set").alias("v"))
+    in_place = f"least(a.n - a.place, b.n - b.place) >= (a.n + b.n) * {threshold / (1 + threshold)!r} - 1e-6"  # the first shared token is followed by enough
+    near = a.join(b, F.expr(f"a.token = b.token and a.id < b.id and {in_place} and {near_enough('a.', 'b.')}")).select(F.col("a.set").alias("u"), F.col("b.set").alias("v"), F.col("a.id").alias("uid"), F.col("b.id").alias("vid"))
     links = durable(star.union(verified(near)).distinct(), "jaccard-links")
-    state = durable(sets.select("set", F.lit(None).cast("boolean").alias("kept")), "jaccard-state")
+    release(placed, firsts, star)
+    degree = links.select(F.explode(F.array("u", "v")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
+    state = durable(degree.select("set", F.lit(None).cast("boolean").alias("kept")), "jaccard-state")  # what has no link is kept
     while True:
         now = links.join(state.withColumnRenamed("set", "u"), "u").groupBy("v").agg(F.max(F.coalesce("kept", F.lit(False))).alias("any_kept"), F.max(F.col("kept").isNull()).alias("any_open"))
         new = state.join(now.withColumnRenamed("v", "set"), "set", "left").select("set", F.coalesce("kept", F.when(F.col("any_kept"), False).when(F.coalesce("any_open", F.lit(False)), F.lit(None)).otherwise(True)).alias("kept"))
@@ -90,9 +148,9 @@ def jaccard(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.95,
         if state.where("kept is null").isEmpty():
             break
     stands = links.join(state.where("kept").select(F.col("set").alias("u")), "u").groupBy("v").agg(F.min("uid").alias("kept_id"))
-    degree = links.select(F.explode(F.array("u", "v")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
-    lead = sets.select("set", F.col("id").alias("lead")).join(state, "set").join(stands.withColumnRenamed("v", "set"), "set", "left").join(degree, "set", "left").select("set", F.when(F.col("kept"), F.col("lead")).otherwise(F.col("kept_id")).alias("kept_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return rows.select("id", "set").join(lead, "set").select("id", "kept_id", (F.col("id") == F.col("kept_id")).alias("is_kept"), "n_links")
+    told = state.join(stands.withColumnRenamed("v", "set"), "set", "left").join(degree, "set", "left").where("n_links > 0")
+    lead = sets.select("set", F.col("id").alias("lead")).join(told, "set", "left").select("set", F.when(F.coalesce("kept", F.lit(True)), F.col("lead")).otherwise(F.col("kept_id")).alias("kept_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return members.join(lead, "set").select("id", "kept_id", (F.col("id") == F.col("kept_id")).alias("is_kept"), "n_links")
 
 
 def _minhash(words: int, bands: int, rows: int):
