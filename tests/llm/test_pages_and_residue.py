@@ -141,3 +141,13 @@ def test_models_do_not_depend_on_how_rows_are_spread(spark):
     rows = [(prose(2),) for _ in range(150)] + [("Page not found.",), ("Loading...",)]
     one, many = (fit(spark.createDataFrame(rows, "text string").repartition(n), fit_rows=100) for n in (1, 7))
     assert all((a == b).all() for a, b in zip(one, many)) and (one.slots == many.slots).all()
+
+
+def test_models_are_fitted_on_all_texts(spark):
+    from textloom.llm.residue import grams
+
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = ["".join(letters[k // 20**j % 20] for j in range(4)) for k in range(10_400)]
+    rows = [(f"The keeper of the mill wrote the word {w} into the ledger before supper.",) for w in words]
+    filler = fit(spark.createDataFrame(rows, "text string"))[1]
+    assert all((filler[grams(t)] != 0).all() for (t,) in rows)
