@@ -3,6 +3,7 @@ import random
 from textloom.functions.shingles import WORD
 from textloom.llm.near_dup import group_pairs, near_duplicates
 from textloom.llm.shared_spans import paragraph_links, removal_clusters, shared_shares, shared_spans, tuned_bands
+from textloom.runtime import sieved
 
 VOCABULARY = [f"word{i}" for i in range(500)]
 
@@ -78,6 +79,46 @@ def test_copies_behind_a_hub_that_is_like_neither_and_split_postings(spark):
         assert {r["id"]: r["group_id"] for r in near_duplicates(df, id_col="id", heavy=heavy).collect()} == want
 
 
+def shuffled_by_job(spark, run):
+    """MB that each job of ``run`` writes to shuffles, as on tables too large for broadcasts."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jobs = lambda: [(j.jobId(), [j.stageIds().apply(k) for k in range(j.stageIds().size())]) for j in (store.jobsList(None).apply(n) for n in range(store.jobsList(None).size()))]
+    before = {i for i, _ in jobs()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s: store.lastStageAttempt(s).shuffleWriteBytes() for i, ids in jobs() if i not in before for s in ids}
+    return [sum(stages[s] for s in ids) / 1e6 for i, ids in jobs() if i not in before]
+
+
+def test_texts_and_postings_that_nothing_shares_are_not_shuffled(spark):
+    random.seed(8)
+    rows = [(i, " ".join(str(random.randrange(10**6)) for _ in range(150))) for i in range(3000)]
+    rows += [(3000 + i, t + " and more") for i, t in rows[:30]]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = {}
+    mb = shuffled_by_job(spark, lambda: got.update((r["id"], r["group_id"]) for r in near_duplicates(df, id_col="id").collect()))
+    assert got == {i: i % 3000 for i, _ in rows}
+    assert max(mb) < 0.8, sorted(mb)[-5:]
+
+
+def test_sieved_rows_hold_all_that_a_join_finds(spark):
+    big = spark.createDataFrame([(str(i), i) for i in range(5000)] + [(None, -1)], "k string, n int")
+    for wanted in ([], ["7"], [str(i) for i in range(0, 5000, 50)]):
+        small = spark.createDataFrame([(x,) for x in wanted], "k string")
+        for bits in (64, 1 << 10, 1 << 27):
+            got = sieved(big, small, "k", bits)
+            assert got.columns == big.columns and set(wanted) <= {r["k"] for r in got.collect()}
+        assert got.count() <= len(wanted) + 5000 / 8
+    everything = spark.range(300_000)
+    some = everything.where("id % 6 = 0")
+    got = sieved(everything, some, "id")
+    assert got.join(some, "id").count() == 50_000 and got.count() < 50_000 + 250_000 / 8
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "chunk_id string, text string")
     assert near_duplicates(df).count() == 0 and group_pairs(near_duplicates(df)).count() == 0

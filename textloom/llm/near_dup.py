@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions.shingles import MULT, WordHashes, mix, permutations, shingle_hashes, signature
 from textloom.operators.components import connected_components
-from textloom.runtime import durable, release, split_join
+from textloom.runtime import durable, release, sieved, split_join
 
 
 def _keys(sig: np.ndarray, values: int) -> np.ndarray:
@@ -82,13 +83,17 @@ def _verify(threshold: float, matches: int):
     return run
 
 
-def _alive(posts: DataFrame, matches: int) -> DataFrame:
+def _shared(posts: DataFrame) -> DataFrame:
+    """(key, df): the postings of more than one class, with how often they are posted."""
+    return posts.groupBy("key").agg(F.count("*").alias("df"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("key", "df")
+
+
+def _alive(posts: DataFrame, shared: DataFrame, matches: int) -> DataFrame:
     """(fp, keys): per class its postings that others share too, rarest first; classes with fewer than ``matches`` of them can't be linked and are skipped."""
-    shared = durable(posts.groupBy("key").agg(F.count("*").alias("df"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("key", "df"), "nd-shared")
     return split_join(posts, shared.withColumn("n", F.col("df")), "key", weight="n").groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= matches)  # at most one entry a coordinate
 
 
-def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, coordinates: int = 32, values: int = 3, matches: int = 2, heavy: int = 500) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", words: int = 3, threshold: float = 0.6, coordinates: int = 32, values: int = 3, matches: int = 2, heavy: int = 500, slices: int = 4) -> DataFrame:
     """(id, group_id, class_id) for every text that has at least ``words`` words.
 
     Two texts are linked if the Jaccard similarity of their word n-gram sets is at least
@@ -105,6 +110,11 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     agreeing coordinates are counted on the signatures, and pairs above the match threshold are
     verified on the whole shingle sets.
 
+    Most postings have one class and most texts no candidate, so little is moved of either: postings
+    are counted in ``slices`` runs over some of the coordinates each, whose shuffle files are removed
+    before the next; after that, postings and texts are sieved by the keys looked for before they are
+    shuffled (``runtime.sieved``).
+
     Within a posting every class is first compared with the posting's least class only, beginning with
     the least over all its postings; classes that are then in one component need no further
     comparison, and only pairs across components are enumerated. So a posting made of one big group
@@ -121,17 +131,23 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     kind = rows.schema["id"].dataType.simpleString()
     marked = durable(rows.mapInArrow(_signatures(coordinates, values, words), f"id {kind}, fp bigint, coords array<bigint>"), "nd-signatures")
     members = durable(marked.groupBy("id").agg(F.min("fp").alias("fp")), "nd-members")
-    once = durable(_alive(marked.select("fp", F.explode("coords").alias("key")), matches), "nd-alive")
-    release(marked)
-    alive = durable(_alive(once.select("fp", F.explode("keys.key").alias("key")), matches), "nd-alive")
-    release(once)
+    width = -(-coordinates // slices)
+    counted = [durable(_shared(marked.select("fp", F.explode(F.slice("coords", k + 1, width)).alias("key"))), "nd-shared") for k in range(0, coordinates, width)]
+    shared = reduce(DataFrame.unionByName, counted)
+    once = durable(_alive(sieved(marked.select("fp", F.explode("coords").alias("key")), shared, "key"), shared, matches), "nd-alive")
+    release(marked, *counted)
+    posts = once.select("fp", F.explode("keys.key").alias("key"))
+    again = durable(_shared(posts), "nd-shared")
+    alive = durable(_alive(posts, again, matches), "nd-alive")
+    release(once, again)
     prefix = F.slice("keys.key", F.lit(1), F.size("keys") - (matches - 1))
     posts = durable(alive.select("fp", F.explode(prefix).alias("key")), "nd-postings")
 
     hubs = posts.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("last"), F.count("*").alias("n")).where("hub != last").select("key", "hub", "n")
     linked = durable(split_join(posts, durable(hubs, "nd-hubs"), "key", weight="n"), "nd-linked")
-    needed = linked.select("fp").distinct().join(members, "fp").groupBy("fp").agg(F.min("id").alias("id"))
-    sets = durable(rows.join(needed, "id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_sets(coordinates, values, words), "fp bigint, sig binary, set binary"), "nd-sets")
+    needed = durable(linked.select("fp").distinct().join(members, "fp").groupBy("fp").agg(F.min("id").alias("id")), "nd-needed")
+    sets = durable(sieved(rows, needed, "id").join(needed, "id").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(_sets(coordinates, values, words), "fp bigint, sig binary, set binary"), "nd-sets")
+    release(needed)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs, "nd-pairs")

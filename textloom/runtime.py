@@ -125,3 +125,18 @@ def split_join(big: DataFrame, small: DataFrame, key: str | list[str], how: str
     hot = F.broadcast(big.sparkSession.createDataFrame(found))
     few = F.broadcast(small.join(hot, keys, "left_semi"))
     return big.join(hot, keys, "left_anti").join(small, keys, how).unionByName(big.join(hot, keys, "left_semi").join(few, keys, how))
+
+
+def sieved(big: DataFrame, small: DataFrame, key: str, bits: int = 1 << 27) -> DataFrame:
+    """The rows of ``big`` whose ``key`` may be in ``small``, before an inner join on it: all that are, few of the others.
+
+    The keys of ``small`` are marked by one hash in a bitmap, which is broadcast in pieces of 4 KB. It has 16 to
+    32 bits a key, and ``bits`` at most (16 MB), which then let about n / bits of the other rows pass with n keys.
+    ``small`` is read twice.
+    """
+    room = min(bits, 1 << max(15, (32 * small.count()).bit_length() - 1))
+    place = F.pmod(F.xxhash64(key), F.lit(room))
+    pieces = small.select(F.shiftright(place, 15).alias("__piece"), (place % (1 << 15)).alias("at")).repartition("__piece").groupBy("__piece").agg(F.bitmap_construct_agg("at").alias("__map"))
+    byte = F.conv(F.hex(F.expr("substring(__map, cast(__place % 32768 div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    marked = (F.shiftright("__place", 15) == F.col("__piece")) & (F.getbit(byte, (F.col("__place") % 8).cast("int")) == 1)
+    return big.withColumn("__place", place).join(F.broadcast(pieces), marked, "left_semi").drop("__place")
